@@ -232,7 +232,7 @@ def clear_case(path: str, t: dict[str, float]) -> str | None:
     if t["copy"] or _PACKAGES.search(below) or (_COPIED.search(below) and not re.match(r"(?:src|lib|tests?)/", below)) or _VERSIONED.search(below) or (t["sized"] > 1 and t["copied"] == t["sized"]):
         return "vendored"
     blanks = t["blanks"] / size
-    if t["packed"] or (size / lines > 400 and blanks < 0.05):
+    if t["packed"] or (size / lines > 300 and blanks < 0.08):
         return "minified"
     if t["literal"] / size > 0.5 and size > 800 or t["inserts"] / rows > 15:
         return "data"
