@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.llm.tokens import spread
@@ -31,7 +31,7 @@ THRESHOLD = 0.55
 SHINGLE = 3
 LEAST_WORDS = 40
 #: Matches that the heads of a pair must share.
-MATCHES = 4
+MATCHES = 10
 #: A shingle is frequent from this share of the texts on. There are at most (mean set size / FREQUENT) such shingles.
 FREQUENT = 1 / 2000
 
@@ -180,9 +180,8 @@ def class_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD
     sets = materialize_bucketed(_sets(texts, size, least_words), "sets", "node", parts)
     frequent = _frequent(sets, FREQUENT)
     heads = _heads(spread(sets), frequent, threshold, matches).repartition(parts, "gram")
-    # shingles of one text only cannot match; both sides below come from the one exchange
-    shared = heads.groupBy("gram").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1").select(F.col("gram").alias("__g"))
-    rows = heads.join(shared, heads["gram"] == shared["__g"], "left_semi")
+    # shingles of one text only cannot match; counted in place, after the one exchange
+    rows = heads.withColumn("__c", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("__c > 1").drop("__c")
     rows = materialize(rows, "heads")
     matrix = rows.groupBy("gram", "group").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).select("gram", F.col("group").alias("open"), "lo", "hi")
     # the larger text of a pair asks; the smaller one needs at least threshold times its size
