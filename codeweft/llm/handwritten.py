@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from codeweft.llm.tokens import spread
 
 KINDS = ("generated", "minified", "vendored", "data")
-FIT_FILES = 2500
+FIT_FILES = 2000
 FIT_ROWS = 16
 FIT_BYTES = 32_768
 HASHED = 1 << 12
@@ -210,10 +210,11 @@ def traits(bodies: list[str], datas: list[bytes], comments: list[str], kinds: li
 
 
 #: Dimensions that the learner sees for a file's traits.
-N_TRAITS = 26
+N_TRAITS = 32
 
 
-def trait_vector(t: dict[str, float]) -> np.ndarray:
+def trait_vector(path: str, t: dict[str, float]) -> np.ndarray:
+    below = path.split("/", 1)[-1]
     rows, size, lines = max(t["rows"], 1.0), max(t["bytes"], 1.0), max(t["lines"], 1.0)
     per_line = size / lines
     digits, blanks, lit = t["digits"] / size, t["blanks"] / size, t["literal"] / size
@@ -221,6 +222,7 @@ def trait_vector(t: dict[str, float]) -> np.ndarray:
         t["tool"], t["copy"], t["own"], t["packed"], t["longest"] > 500, t["longest"] > 2000, per_line > 120, per_line > 400, digits > 0.12, digits > 0.3, blanks < 0.08, blanks < 0.03, lit > 0.3, lit > 0.6, lit > 0.3 and size > 600,
         t["hexes"] / rows > 0.4, t["hexes"] / rows > 0.9, t["stub"] / rows > 0.5, t["constant"] / rows > 0.5, t["inserts"] / rows > 3, t["inserts"] / rows > 15, t["sized"] > 0 and t["copied"] / max(t["sized"], 1) > 0.5, t["sized"] > 1 and t["copied"] / max(t["sized"], 1) > 0.8,
         blanks < 0.12 and per_line > 200, per_line < 25, size / rows < 120,
+        bool(_PACKAGES.search(below)), bool(_COPIED.search(below)) and not re.match(r"(?:src|lib|tests?)/", below), bool(_VERSIONED.search(below)), bool(_MADE.search(below)), bool(_SHRUNK.search(below)), bool(_BLOB.search(below)),
     ]
     return np.array(flags, np.float32)
 
@@ -260,7 +262,7 @@ class Model:
     bias: np.ndarray
 
     def margins(self, gram_sums: np.ndarray, n_grams: float, path: str, t: dict[str, float]) -> np.ndarray:
-        m = self.bias + self.trait @ trait_vector(t)
+        m = self.bias + self.trait @ trait_vector(path, t)
         if n_grams:
             m = m + gram_sums / n_grams
         idx = [_hash(p, PATH_HASHED) for p in path_parts(path)]
@@ -268,7 +270,8 @@ class Model:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, epochs: int = 40, seed: int = 7) -> np.ndarray:
-    """Linear SVM (hinge loss, L2) by dual coordinate descent; ``c`` is the cost per row. The last column is the bias."""
+    """Linear SVM (hinge loss, L2) by dual coordinate descent; ``c`` is the cost per row, 0 leaves a row out. The last
+    column is the bias."""
     n, d = x.shape
     w, alpha = np.zeros(d, np.float32), np.zeros(n)
     norm = np.einsum("ij,ij->i", x, x).astype(np.float64) + 1e-9
@@ -306,39 +309,39 @@ def fit(files: pd.DataFrame) -> tuple[Model, dict[str, tuple[int, int, int]]]:
     for r, i in enumerate(use):
         for part in path_parts(files["path"].iloc[i]):
             p[r, _hash(part, PATH_HASHED)] += PATH_SCALE
-        t[r] = trait_vector({k: float(files[k].iloc[i]) for k in TRAITS})
+        t[r] = trait_vector(files["path"].iloc[i], {k: float(files[k].iloc[i]) for k in TRAITS})
     kind = np.array([cases[i] for i in use], dtype=object)
     held = np.array([_hash(files["path"].iloc[i].split("/", 1)[0], VALIDATION_SHARE) == 0 for i in use], bool)
-    one = np.ones((len(use), 1), np.float32)
-    full = np.hstack([g, p, t, one])
-    bare_t = t.copy()
-    bare_t[:, :3] = 0
-    bare = np.hstack([g, np.zeros_like(p), bare_t, one])  # without notice and path
+    n_use, width = len(use), HASHED + PATH_HASHED + N_TRAITS + 1
+    x = np.zeros((2 * n_use, width), np.float32)  # each file as it is, and without notice and path
+    x[:n_use, :HASHED] = x[n_use:, :HASHED] = g
+    x[:n_use, HASHED : HASHED + PATH_HASHED] = p
+    x[:n_use, HASHED + PATH_HASHED : -1] = x[n_use:, HASHED + PATH_HASHED : -1] = t
+    x[n_use:, HASHED + PATH_HASHED : HASHED + PATH_HASHED + 3] = 0
+    x[:, -1] = 1
+    del g, p, t
 
     def weights(rows: np.ndarray) -> np.ndarray:
         out = []
         for k in KINDS:
             mine = kind == k
             if not (mine & rows).any() or not (~mine & rows).any():
-                out.append(np.r_[np.zeros(full.shape[1] - 1), -1.0])
+                out.append(np.r_[np.zeros(width - 1), -1.0])
                 continue
-            x, y = [full[rows]], [np.where(mine[rows], 1.0, -1.0)]
-            if k != "vendored":
-                x.append(bare[rows])
-                y.append(np.where(mine[rows], 1.0, -1.0))
-            x, y = np.vstack(x), np.concatenate(y)
-            cost = np.where(y > 0, min(6.0, (y < 0).sum() / (y > 0).sum()) ** 0.5, 1.0)
+            y = np.tile(np.where(mine, 1.0, -1.0), 2)
+            used = np.concatenate([rows, rows & (k != "vendored")])  # vendored code looks like any other
+            cost = np.where(y > 0, min(6.0, (used & (y < 0)).sum() / (used & (y > 0)).sum()) ** 0.5, 1.0) * used
             out.append(fit_svm(x, y, cost))
         return np.stack(out)
 
     report = {}
     if held.any() and (~held).any():
         w = weights(~held)
-        m = full[held] @ w.T
+        m = x[:n_use][held] @ w.T
         for j, k in enumerate(KINDS):
             truth = kind[held] == k
             report[k] = (int(truth.sum()), int((truth & (m[:, j] > 0)).sum()), int((m[:, j] > 0).sum()))
-    w = weights(np.ones(len(use), bool)) if use else np.hstack([np.zeros((len(KINDS), full.shape[1] - 1)), -np.ones((len(KINDS), 1))])
+    w = weights(np.ones(len(use), bool)) if use else np.hstack([np.zeros((len(KINDS), width - 1)), -np.ones((len(KINDS), 1))])
     a, b = HASHED, HASHED + PATH_HASHED
     return Model((w[:, :a] * scale).astype(np.float32), (w[:, a:b] * PATH_SCALE).astype(np.float32), w[:, b : b + N_TRAITS].astype(np.float32), w[:, -1]), report
 
