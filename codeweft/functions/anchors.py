@@ -18,7 +18,7 @@ STOP_WORDS = (
 _CODE = r"```\w*\n([\s\S]*?)```"
 _CALL = r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)\s*\("
 _FROM = r"(?:^|[\s:;`])from\s+([A-Za-z_][\w.]*)\s+import\s+([A-Za-z_][\w]*(?:\s*,\s*[A-Za-z_]\w*)*)"
-_IMPORT = r"(?:^|[\s:;`])import\s+([A-Za-z_][\w.]*)"
+_IMPORT = r"(?:^|[\n:;`])[ \t]*import\s+([A-Za-z_][\w.]*)"
 _FRAME = r'File "([^"]+)", line \d+, in ([A-Za-z_<][\w.<>]*)'
 _IDENT = r"\b([A-Za-z_][A-Za-z0-9_]{3,})\b"
 _DOTTED = r"\b([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+)\b"

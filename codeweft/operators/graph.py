@@ -47,7 +47,7 @@ def half_point(deg: DataFrame, p: float = 0.5, override: float | None = None) ->
     w = Window.orderBy("raw").rowsBetween(Window.unboundedPreceding, 0)  # one row per distinct degree
     cum = hist.withColumn("upto", F.sum("c").over(w)).crossJoin(F.broadcast(hist.agg(F.sum("c").alias("n"))))
     at = F.floor((F.col("n") - 1) * F.lit(min(1.0, max(0.0, p))) + 0.5)
-    return cum.where(F.col("upto") > at).agg(F.min("raw").alias("raw")).select(F.coalesce(F.greatest(F.col("raw"), F.lit(1)), F.lit(15)).cast("double").alias("k"))
+    return cum.where(F.col("upto") > at).agg(F.min("raw").alias("raw")).select(F.when(F.col("raw").isNull(), 15).otherwise(F.greatest(F.col("raw"), F.lit(1))).cast("double").alias("k"))
 
 
 def centrality(deg: DataFrame, p: float = 0.5, override: float | None = None) -> DataFrame:

@@ -174,3 +174,58 @@ def session_lines(obs: DataFrame, detail: str = "L2") -> DataFrame:
     full = F.concat(F.lit("["), F.coalesce("kind", F.lit("manual")), F.lit("] "), body, flag)
     line = {"L1": head, "L2": full, "L3": F.concat(full, F.when(F.col("symbol_fqn").isNotNull(), F.concat(F.lit(" @ "), F.col("symbol_fqn"))).otherwise(F.lit("")))}[detail]
     return obs.select("id", line.alias("line"))
+
+
+CLUSTERS = "leader string, n int, members array<string>, content string"
+
+
+def merge_texts(contents: list[str]) -> str:
+    """One text for a cluster: the distinct queries and pivots of ``Agent queried: "q" — pivots: a, b`` rows in order; other rows
+    whole."""
+    import re
+
+    queries, pivots, rest = {}, {}, {}
+    for c in contents:
+        m = re.match(r'Agent queried: "(.*)" — pivots: (.*)$', c or "", re.S)
+        if m:
+            queries[m.group(1)] = True
+            pivots.update({p.strip(): True for p in m.group(2).split(",") if p.strip()})
+        elif c:
+            rest[c] = True
+    out = []
+    if queries:
+        out.append("Agent queried: " + "; ".join(f'"{q}"' for q in queries) + (" — pivots: " + ", ".join(pivots) if pivots else ""))
+    return "\n".join([*out, *rest])
+
+
+def consolidate(obs: DataFrame, now: dt.datetime, threshold: float = 0.92) -> DataFrame:
+    """``leader``, ``n``, ``members``, ``content``: clusters of live automatic observations (``id``, ``session_id``, ``content``,
+    ``created_at``, ``kind``, ``expires_at``, ``embedding``) by greedy leaders in the order of time; clusters of one stay out.
+
+    Observations are clustered within their session: a session is bounded by an agent's run. The fold keeps leaders only and compares a
+    row with all of them at once.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = live(obs, now).where("kind IN ('auto', 'passive') AND embedding IS NOT NULL AND session_id IS NOT NULL").select("session_id", "id", "content", "created_at", "embedding")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["created_at", "id"], kind="stable")
+        leaders: list[int] = []
+        members: list[list[int]] = []
+        x = np.stack([np.asarray(v, np.float64) for v in pdf["embedding"]])
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        for i in range(len(x)):
+            near = np.flatnonzero(x[leaders] @ x[i] >= threshold) if leaders else []
+            if len(near):
+                members[near[0]].append(i)
+            else:
+                leaders.append(i)
+                members.append([i])
+        ids, texts = list(pdf["id"]), list(pdf["content"])
+        big = [m for m in members if len(m) > 1]
+        cols = {"leader": [ids[m[0]] for m in big], "n": [len(m) for m in big], "members": [[ids[i] for i in m] for m in big], "content": [merge_texts([texts[i] for i in m]) for m in big]}
+        return pd.DataFrame({k: pd.Series(v, dtype="int32" if k == "n" else object) for k, v in cols.items()})
+
+    return rows.groupBy("session_id").applyInPandas(fold, CLUSTERS)
