@@ -117,6 +117,8 @@ def cost(text: str) -> float:
                 total += 1.0 if nxt in "aeiouy" or c in "ìòùûïëñ" else 0.3
             elif after in " ." and before == "a" and c in "îìñâêôûüöïëäçæåõãíóú":
                 total += {"î": 1.2, "ì": 1.2, "ñ": 1.5, "ç": 1.2, "ï": 1.2, "ë": 0.6}.get(c, 0.1)
+            if (c == "œ" and after == "a" and text[i + 1] not in "uits") or (c == "æ" and after in " .lL"):
+                total += 1.1
             if c in "ñç" and after == "a" and text[i + 1] in "bcdfghjklmnpqrstvwxz":
                 total += 1.5
             if before == "0" or after == "0":
@@ -124,6 +126,8 @@ def cost(text: str) -> float:
         elif k == "L":
             low = c.lower()
             total += (0.05 if before in "AL" or after in "AL" else 0.2) if low in _HOME else 1.2
+            if c == "Œ" and after == "a" and text[i + 1] not in "uits":
+                total += 1.1
             if before in "al":
                 total += 3.5
             elif before in "lL" and after in "lL":
