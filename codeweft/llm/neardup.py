@@ -33,7 +33,7 @@ LEAST_WORDS = 40
 #: Matches that the heads of a pair must share.
 MATCHES = 10
 #: A shingle is frequent from this share of the texts on. There are at most (mean set size / FREQUENT) such shingles.
-FREQUENT = 1 / 2000
+FREQUENT = 1 / 10_000
 
 _WORD = re.compile(rb"[A-Za-z0-9_]+")
 _MASK = np.uint64((1 << 48) - 1)
