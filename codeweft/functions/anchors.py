@@ -20,7 +20,7 @@ _CALL = r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)\s*\("
 _FROM = r"(?:^|[\s:;`])from\s+([A-Za-z_][\w.]*)\s+import\s+([A-Za-z_][\w]*(?:\s*,\s*[A-Za-z_]\w*)*)"
 _IMPORT = r"(?:^|[\n:;`])[ \t]*import\s+([A-Za-z_][\w.]*)"
 _FRAME = r'File "([^"]+)", line \d+, in ([A-Za-z_<][\w.<>]*)'
-_IDENT = r"\b([A-Za-z_][A-Za-z0-9_]{3,})\b"
+_IDENT = r"([A-Za-z0-9_]{4,})"
 _DOTTED = r"\b([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+)\b"
 
 
@@ -62,7 +62,7 @@ def frames(text: Column) -> Column:
 
 def prose_names(text: Column) -> Column:
     """Identifiers with an underscore or mixed case, at least four characters, no stop words."""
-    return F.filter(_all(text, _IDENT), lambda x: (x.contains("_") | (x.rlike("[A-Z]") & x.rlike("[a-z]"))) & ~F.lower(x).isin(*STOP_WORDS))
+    return F.filter(_all(text, _IDENT), lambda x: x.rlike("^[A-Za-z_]") & (x.contains("_") | (x.rlike("[A-Z]") & x.rlike("[a-z]"))) & ~F.lower(x).isin(*STOP_WORDS))
 
 
 def dotted_names(text: Column) -> Column:

@@ -125,3 +125,64 @@ def embed(df: DataFrame, key: str, text: str, embedder: Embedder) -> DataFrame:
             yield pd.DataFrame({"key": pdf["key"], "embedding": list(embedder.embed(list(pdf["text"])))})
 
     return df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, embedding array<float>").withColumnRenamed("key", key)
+
+
+def rust_type(t: object) -> str:
+    """A type of the Rust documentation format as text; unknown forms give ``_``."""
+    if t is None:
+        return "()"
+    if isinstance(t, str):
+        return t
+    if not isinstance(t, dict) or not t:
+        return "_"
+    (kind, v), *_ = t.items()
+    if kind in ("primitive", "generic"):
+        return v
+    if kind == "resolved_path":
+        args = ((v.get("args") or {}).get("angle_bracketed") or {}).get("args") or []
+        inner = [rust_type(a["type"]) for a in args if isinstance(a, dict) and "type" in a]
+        return (v.get("name") or v.get("path") or "_").split("::")[-1] + (f"<{', '.join(inner)}>" if inner else "")
+    if kind == "borrowed_ref":
+        return f"&{'mut ' if v.get('is_mutable') or v.get('mutable') else ''}{rust_type(v.get('type'))}"
+    if kind == "tuple":
+        return f"({', '.join(rust_type(x) for x in v)})"
+    if kind == "slice":
+        return f"[{rust_type(v)}]"
+    if kind == "array":
+        return f"[{rust_type(v.get('type'))}; {v.get('len')}]"
+    if kind in ("impl_trait", "dyn_trait"):
+        bounds = v if isinstance(v, list) else v.get("traits", [])
+        names = [((b.get("trait_bound") or b).get("trait") or {}) for b in bounds if isinstance(b, dict)]
+        return f"{'impl' if kind == 'impl_trait' else 'dyn'} {' + '.join((n.get('name') or n.get('path') or '_') for n in names)}"
+    return "_"
+
+
+def parse_rustdoc(reports: DataFrame) -> DataFrame:
+    """``key`` (last two parts of the path), ``type``: return types of functions and sorted trait lists of types, from documents in
+    the Rust documentation's JSON (``json``). Malformed documents give nothing."""
+    import json
+
+    def facts(text: str) -> Iterator[tuple[str, str]]:
+        try:
+            doc = json.loads(text)
+        except (TypeError, ValueError):
+            return
+        index, paths = doc.get("index") or {}, doc.get("paths") or {}
+        traits: dict[str, set[str]] = {}
+        for key, item in index.items():
+            inner = item.get("inner") or {}
+            path = (paths.get(str(key)) or {}).get("path") or ([item["name"]] if item.get("name") else [])
+            if "function" in inner and path:
+                sig = inner["function"].get("sig") or inner["function"].get("decl") or {}
+                yield "::".join(path[-2:]), rust_type(sig.get("output"))
+            elif "impl" in inner and (inner["impl"].get("trait") or {}):
+                t = inner["impl"]["trait"]
+                traits.setdefault(rust_type(inner["impl"].get("for")).split("<")[0], set()).add((t.get("name") or t.get("path") or "_").split("::")[-1])
+        for name, found in traits.items():
+            yield name, ", ".join(sorted(found))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([f for t in pdf["json"] for f in facts(t)], columns=["key", "type"])
+
+    return reports.select("json").mapInPandas(run, "key string, type string").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import anchors as A
 from codeweft.functions.text import CALLABLE, TYPE_DEFS, expand_seed, is_test_path, is_utility, pivot_eligible, query_terms
+from codeweft.plans.materialize import materialize
 
 #: Rank constants of the fusion, per retriever.
 FUSION_K = {"bm25": 60, "graph": 60, "semantic": 60, "anchor": 15, "traceback": 8, "reverse": 30}
@@ -81,7 +82,7 @@ def reverse_expand(link: DataFrame, symbols: DataFrame, cent: DataFrame, anchors
         gain = overlap + 2.0 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("sem", F.lit(0.0)))) - 0.1 * F.coalesce("centrality", F.lit(0.0))
         fan = top(step.withColumn("gain", F.round(gain, 6)), ["query_id", "id", "ord"], [F.desc("gain"), F.asc("next")], REVERSE_FAN, "r")
         first = fan.groupBy("query_id", "next").agg(F.min(F.struct("ord", "r")).alias("p"))
-        front = top(first, ["query_id"], [F.asc("p"), F.asc("next")], 1_000_000, "ord").select("query_id", F.col("next").alias("id"), "ord")
+        front = materialize(top(first, ["query_id"], [F.asc("p"), F.asc("next")], 1_000_000, "ord").select("query_id", F.col("next").alias("id"), "ord"), "front")
         seen = seen.unionByName(front.select("query_id", "id"))
         level = front.select("query_id", "id", F.lit(depth).alias("depth"), "ord")
         out = level if out is None else out.unionByName(level)
