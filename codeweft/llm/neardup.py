@@ -89,8 +89,9 @@ def _sets(df: DataFrame, size: int, least_words: int) -> DataFrame:
 def _frequent(sets: DataFrame, share: float) -> np.ndarray:
     """Shingles that may be in ``share`` of the texts or more, the most frequent last.
 
-    A shingle with that share overall has it in some task. So each task names those that reach the share of its own
-    texts (at most mean size / share of them), and only these travel. Counted over all texts.
+    A shingle with that share overall has it in some task. So each task names those that reach half the share of its own
+    texts (at most 2 x mean size / share of them), and only these travel. Counted over all texts; the result orders shingles, it
+    drops none.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
