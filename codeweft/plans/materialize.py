@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Paths that this driver has written, for :func:`clear`.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +35,7 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/codeweft/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
+    _written.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -42,4 +45,15 @@ def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int, codec
     table = f"codeweft_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/codeweft/{table}"
     df.write.format("parquet").option("path", path).option("compression", codec).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    _written.append(path)
     return spark.table(table)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all tables that this driver has written to the shared folder; results that still read them become unreadable.
+    Returns how many there were."""
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n

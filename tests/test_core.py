@@ -298,3 +298,14 @@ def test_entry_without_llm():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_tables_in_the_shared_folder(spark):
+    from codeweft.plans import materialize as M
+
+    df = spark.range(10).withColumnRenamed("id", "k")
+    kept = M.materialize(df, "t")
+    bucketed = M.materialize_bucketed(df, "b", "k", 4)
+    assert kept.count() == bucketed.count() == 10 and "Exchange" not in bucketed.groupBy("k").count()._jdf.queryExecution().toString().split("Physical Plan")[-1].replace("AdaptiveSparkPlan", "")
+    assert M.shared_dir(spark).startswith("file:")
+    assert M.clear(spark) >= 2
