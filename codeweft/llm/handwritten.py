@@ -222,7 +222,7 @@ def trait_vector(path: str, t: dict[str, float]) -> np.ndarray:
         t["tool"], t["copy"], t["own"], t["packed"], t["longest"] > 500, t["longest"] > 2000, per_line > 120, per_line > 400, digits > 0.12, digits > 0.3, blanks < 0.08, blanks < 0.03, lit > 0.3, lit > 0.6, lit > 0.3 and size > 600,
         t["hexes"] / rows > 0.4, t["hexes"] / rows > 0.9, t["stub"] / rows > 0.5, t["constant"] / rows > 0.5, t["inserts"] / rows > 3, t["inserts"] / rows > 15, t["sized"] > 0 and t["copied"] / max(t["sized"], 1) > 0.5, t["sized"] > 1 and t["copied"] / max(t["sized"], 1) > 0.8,
         blanks < 0.12 and per_line > 200, per_line < 25, size / rows < 120,
-        bool(_PACKAGES.search(below)), bool(_COPIED.search(below)) and not re.match(r"(?:src|lib|tests?)/", below), bool(_VERSIONED.search(below)), bool(_MADE.search(below)), bool(_SHRUNK.search(below)), bool(_BLOB.search(below)),
+        bool(_PACKAGES.search(below)), bool(_COPIED.search(below)), bool(_VERSIONED.search(below)), bool(_MADE.search(below)), bool(_SHRUNK.search(below)), bool(_BLOB.search(below)),
     ]
     return np.array(flags, np.float32)
 
@@ -231,7 +231,7 @@ def clear_case(path: str, t: dict[str, float]) -> str | None:
     """The kind of a clear case by notice, path or make; ``""`` for clearly hand-written, None where it is open."""
     below = path.split("/", 1)[-1]
     rows, size, lines = max(t["rows"], 1.0), max(t["bytes"], 1.0), max(t["lines"], 1.0)
-    if t["copy"] or _PACKAGES.search(below) or (_COPIED.search(below) and not re.match(r"(?:src|lib|tests?)/", below)) or _VERSIONED.search(below) or (t["sized"] > 1 and t["copied"] == t["sized"]):
+    if t["copy"] or _PACKAGES.search(below) or _COPIED.search(below) or _VERSIONED.search(below) or (t["sized"] > 1 and t["copied"] == t["sized"]):
         return "vendored"
     blanks = t["blanks"] / size
     if t["packed"] or (size / lines > 300 and blanks < 0.08):
