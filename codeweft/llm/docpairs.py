@@ -3,7 +3,7 @@
 The documentation of a callable is its ``docstring`` or, where that is null, the comment in its body at the place usual
 for the language. Callables without any are looked up in a qualified symbol table: documented declarations (stubs,
 interface rows without a body) of the same workspace and language with the same qualified name; overloads are told apart
-by normalised signatures. Documentation that says nothing beyond name, parameters and types is dropped afterwards.
+by normalised signatures and the types of their parameters. Documentation that says nothing beyond name, parameters and types is dropped afterwards.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.plans.materialize import materialize
 from codeweft.sources.tables import canonical_kind
 
 CALLABLE = ("function", "async_function", "method", "async_method")
@@ -252,35 +253,70 @@ def _is_banner(text: str) -> bool:
     return hits * 2 >= len(lines) or bool(_BANNER.search(lines[0]))
 
 
-def normal_signature(signature: str | None) -> str:
-    """Parameter names of a signature in order, without types, defaults, receivers and blanks."""
+def _parameters(signature: str | None) -> list[tuple[str, str]]:
+    """Name and type (empty if there is none) of the parameters in order, without defaults, receivers and blanks."""
     s = signature or ""
     a = s.find("(")
     if a < 0:
-        return ""
-    depth, parts, cur = 0, [], ""
+        return []
+    depth, parts, cur, before = 0, [], "", ""
     for c in s[a + 1 :]:
+        arrow = c == ">" and before in ("=", "-")
         if c in "([{<":
             depth += 1
-        elif c in ")]}>":
+        elif c in ")]}>" and not arrow:
             if depth == 0:
                 break
             depth -= 1
+        before = c
         if c == "," and depth == 0:
             parts.append(cur)
             cur = ""
         else:
             cur += c
     parts.append(cur)
-    names = [re.split(r"[:=]", p.strip().lstrip("&*.").removeprefix("mut ").strip())[0].split(" ")[0].rstrip("?") for p in parts]
-    return ",".join(re.sub(r"[^a-z0-9]", "", x.lower()) for x in names if x and x not in ("self", "cls", "this"))
+    out = []
+    for p in parts:
+        p = p.strip().lstrip("&*.").removeprefix("mut ").strip()
+        name = re.split(r"[:=]", p)[0].split(" ")[0].rstrip("?")
+        if name and name not in ("self", "cls", "this"):
+            rest = re.split(r"=(?!>)", p)[0][len(name) :].lstrip("?")
+            rest = rest.split(":", 1)[1] if ":" in rest else rest
+            out.append((re.sub(r"[^a-z0-9]", "", name.lower()), re.sub(r"\s+", "", rest.lower())))
+    return out
+
+
+def normal_signature(signature: str | None) -> str:
+    """Parameter names of a signature in order, without types, defaults, receivers and blanks."""
+    return ",".join(n for n, _ in _parameters(signature))
+
+
+def parameter_types(signature: str | None) -> list[str]:
+    """Types of the parameters that :func:`normal_signature` names, in lower case without blanks; empty where none is written."""
+    return [t for _, t in _parameters(signature)]
+
+
+def resolve(types: list[str], overloads: list[tuple[list[str], int, str | None]], name: str, signature: str | None) -> str | None:
+    """The description of the declaration that a definition belongs to, among those of its name and parameter names.
+
+    ``overloads`` are (types, id, documentation). The same types win, and a single declaration needs none; else types that are
+    written on both sides must agree, and most agreeing ones win, the first that says something. The description is judged after that.
+    """
+    same = [o for o in overloads if list(o[0]) == types]
+    if same or len(overloads) == 1:
+        fit = same or overloads
+    else:
+        fits = [(sum(a == b != "" for a, b in zip(o[0], types)), o) for o in overloads if len(o[0]) == len(types) and all(a == b or not a or not b for a, b in zip(o[0], types))]
+        most = max((n for n, _ in fits), default=0)
+        fit = sorted((o for n, o in fits if n == most), key=lambda o: o[1])
+    return next((said for o in fit if o[2] and (said := says_something(o[2], name, signature))), None)
 
 
 def code_without(body: str, comment: str | None) -> str:
     return body.replace(comment, "", 1) if comment else body
 
 
-OWN = "id bigint, space string, lang string, qual string, sig string, declared boolean, origin string, description string, code string, signature string, kind string, name string"
+OWN = "id bigint, space string, lang string, qual string, sig string, types array<string>, declared boolean, doc string, origin string, description string, code string, signature string, kind string, name string"
 
 
 def own_documentation(symbols: DataFrame) -> DataFrame:
@@ -307,7 +343,7 @@ def own_documentation(symbols: DataFrame) -> DataFrame:
                 said = says_something(text, name, sig) if text else None
                 low = (lang or "").strip().lower()
                 declared = bool(stub) or blank
-                out.append((i, (path or "").split("/", 1)[0], _FAMILY.get(low, low), name, normal_signature(sig), declared, origin if said else None, said, None if blank else code_without(body, comment), sig, kind, name))
+                out.append((i, (path or "").split("/", 1)[0], _FAMILY.get(low, low), name, normal_signature(sig), parameter_types(sig), declared, text if declared else None, origin if said else None, said, None if blank else code_without(body, comment), sig, kind, name))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OWN.split(", ")])
 
     return rows.mapInPandas(run, OWN)
@@ -324,14 +360,23 @@ def pairs(symbols: DataFrame) -> DataFrame:
     docstring is a documentation without words: the body is then not searched. Null names and signatures count as empty;
     extra columns are ignored.
     """
-    own = own_documentation(symbols)
+    own = materialize(own_documentation(symbols), "own")
     defs = own.where(~F.col("declared"))
     have = defs.where(F.col("description").isNotNull()).select(*PAIR_COLUMNS)
-    # one description per declared name and signature: the join below is many to one, whatever is popular
+    # one row per declared name and parameter names, with its overloads: the join below is many to one, whatever is popular
     keys = ["space", "lang", "qual", "sig"]
-    decl = own.where(F.col("declared") & F.col("description").isNotNull()).groupBy(*keys).agg(F.min("description").alias("said"))
-    lack = defs.where(F.col("description").isNull()).drop("description", "origin")
-    found = lack.join(decl, keys).select(*[c for c in PAIR_COLUMNS if c not in ("description", "origin")], F.col("said").alias("description"), F.lit("declaration").alias("origin"))
+    best = F.min_by("doc", F.struct(F.col("description").isNull(), F.col("doc").isNull(), "description", "doc"))
+    decl = own.where("declared").groupBy(*keys, "types").agg(F.min("id").alias("first"), best.alias("doc")).groupBy(*keys).agg(F.collect_list(F.struct("types", "first", "doc")).alias("overloads"))
+    lack = defs.where(F.col("description").isNull()).drop("description", "origin", "doc")
+    both_sides = lack.join(decl, keys).select("id", "kind", "name", "signature", "code", "types", "overloads")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            said = [resolve(list(t), [(list(o["types"]), o["first"], o["doc"]) for o in os], name, sig) for t, os, name, sig in pdf[["types", "overloads", "name", "signature"]].itertuples(index=False)]
+            out = pdf[["id", "kind", "name", "signature", "code"]].assign(description=pd.Series(said, dtype=object, index=pdf.index), origin="declaration")
+            yield out[out["description"].notna()]
+
+    found = both_sides.mapInPandas(run, "id bigint, kind string, name string, signature string, code string, description string, origin string")
     both = have.unionByName(found)
     first = F.min_by(F.struct(*PAIR_COLUMNS[1:]), F.struct(F.col("origin") == "declaration", "code", "description"))
     return both.groupBy("id").agg(first.alias("x")).select("id", "x.*")

@@ -11,8 +11,8 @@ from codeweft.sources.tables import table
 
 @LLM.add("p3_found")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions and methods whose own documentation says something."""
-    return docpairs.documented(table(spark, sf_dir, "symbols"))
+    """Functions and methods whose own documentation says something, among the pairs."""
+    return docpairs.pairs(table(spark, sf_dir, "symbols")).where("origin IN ('docstring', 'body')").select("id")
 
 
 @LLM.add("p3_pairs")

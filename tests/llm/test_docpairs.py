@@ -1,6 +1,6 @@
 import pytest
 
-from codeweft.llm.docpairs import bare, comment_in_body, documented, normal_signature, pairs, says_something
+from codeweft.llm.docpairs import bare, comment_in_body, documented, normal_signature, pairs, parameter_types, says_something
 
 NOTHING = [
     ("", "f", "def f():"), ("   ", "f", ""), ("/** */", "f", ""), ("///", "f", ""), ("-----", "f", ""), ("TODO", "f", ""), ("TODO: somebody please write a description", "f", ""), ("Missing documentation", "f", ""),
@@ -59,3 +59,32 @@ def test_operator(spark):
     got = {r.id: (r.origin, r.description) for r in pairs(df).collect()}
     assert got == {1: ("docstring", "Keeps order."), 2: ("declaration", "Rounds towards zero.")}
     assert pairs(df.where("false")).count() == 0
+
+
+def test_overloads_by_type(spark):
+    cols = "id long, name string, file_path string, kind string, signature string, docstring string, body string, language string, is_stub boolean"
+    rows = [
+        (1, "C::f", "ws1/a.ts", "method", "f(a: number)", None, "f(a: number) { }", "typescript", False),
+        (2, "C::f", "ws1/a.ts", "method", "f(a: string)", None, "f(a: string) { }", "typescript", False),
+        (3, "C::f", "ws1/a.d.ts", "method", "f(a: number)", "Rounds towards zero.", None, "typescript", True),
+        (4, "C::f", "ws1/a.d.ts", "method", "f(a: string)", "Pads on the left.", None, "typescript", True),
+        (5, "C::g", "ws1/a.ts", "method", "g(a: number)", None, "g(a: number) { }", "typescript", False),
+        (6, "C::g", "ws1/a.d.ts", "method", "g(a: number)", "TODO", None, "typescript", True),
+        (7, "C::g", "ws1/a.d.ts", "method", "g(a: string)", "Pads on the left.", None, "typescript", True),
+        (8, "C::h", "ws1/a.ts", "method", "h(a)", None, "h(a) { }", "typescript", False),
+        (9, "C::h", "ws1/a.d.ts", "method", "h(a: string)", "Pads on the left.", None, "typescript", True),
+    ]
+    got = {r.id: r.description for r in pairs(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {1: "Rounds towards zero.", 2: "Pads on the left.", 8: "Pads on the left."}
+
+
+def test_arrow_types():
+    assert normal_signature("f(a: (x: number) => void, b: number)") == "a,b" and parameter_types("f(a?: number = 3, b, c: () => void)") == ["number", "", "()=>void"]
+
+
+def test_found_reads_pairs(spark, monkeypatch):
+    from codeweft.llm import docpairs, docpairs_queries
+
+    monkeypatch.setattr(docpairs_queries, "table", lambda *a: None)
+    monkeypatch.setattr(docpairs, "pairs", lambda _: spark.createDataFrame([(1, "docstring"), (2, "body"), (3, "declaration")], "id long, origin string"))
+    assert sorted(r.id for r in docpairs_queries.p3_found(spark, "").collect()) == [1, 2]
