@@ -15,6 +15,7 @@ TTL_DAYS = {"manual": 7, "passive": 7, "dead_end": 7, "file_thrash": 7, "insight
 CATEGORIES = ("new_symbol", "deleted_symbol", "signature_change", "dependency_added", "body_change")
 COMPRESS_FROM = 3
 THRASH_EDITS, THRASH_SECONDS = 4, 300
+SIMILAR, LEAST_SIMILAR = 20, 0.3
 
 
 def live(obs: DataFrame, now: dt.datetime) -> DataFrame:
@@ -158,7 +159,7 @@ def suppress_repeats(log: DataFrame, minutes: int = 30) -> DataFrame:
     return kept
 
 
-def rank_similar(obs: DataFrame, limit: int = 20, least: float = 0.3) -> DataFrame:
+def rank_similar(obs: DataFrame, limit: int = SIMILAR, least: float = LEAST_SIMILAR) -> DataFrame:
     """``query_id``, ``place``, ``id``, ``similarity`` of observations with ``query_id`` and ``similarity``: at least
     ``least``, best first."""
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from codeweft.functions import anchors as A
-from codeweft.operators import capsule, enrich, graph, memory, ranking, stats
+from codeweft.operators import blocks, capsule, enrich, graph, memory, ranking, stats
 from codeweft.plans import pipeline
 from codeweft.plans.materialize import materialize
 from codeweft.plans.search_queries import _FUSED, _INTENT, _searched, _selection, tasks
@@ -111,17 +111,13 @@ def r14_semantic_blend(spark, sf_dir):
 
 @CORE.add("r21_memory")
 def r21_memory(spark, sf_dir):
-    """Live observations for every logged task by the similarity of hashed words, among those that share a symbol's name."""
+    """Live observations for every logged task by the similarity of hashed words, all of them compared with every task."""
     now = dt.datetime(2024, 9, 1)
     hashed = enrich.HashEmbedder()
-    o = memory.live(observations(spark, sf_dir), now).where("content IS NOT NULL")
-    q = tasks(spark, sf_dir)
-    a = enrich.embed(q, "query_id", "task", hashed).withColumnRenamed("embedding", "q")
+    o = memory.live(observations(spark, sf_dir), now)
+    a = enrich.embed(tasks(spark, sf_dir), "query_id", "task", hashed)
     b = enrich.embed(o.select("id", "content"), "id", "content", hashed)
-    words = lambda df, key, text: df.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower(text), r"\W+"), lambda w: F.length(w) > 5))).alias("w"))
-    near = words(q, "query_id", "task").join(words(o, "id", "content"), "w").select("query_id", "id").distinct()
-    dot = F.aggregate(F.zip_with("q", "embedding", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda x, y: x + y)
-    return memory.rank_similar(near.join(a, "query_id").join(b, "id").select("query_id", "id", F.round(dot, 6).alias("similarity")))
+    return memory.rank_similar(blocks.nearest(b, a, memory.SIMILAR, memory.LEAST_SIMILAR))
 
 
 @CORE.add("a07_candidate_tokens", with_views("""WITH p AS (SELECT DISTINCT file_path, string_split(file_path, '/')[1] AS query_id FROM sym) SELECT query_id, CAST(sum(t) AS BIGINT) AS candidate_file_tokens,
