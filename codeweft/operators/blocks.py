@@ -65,7 +65,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float | None
 
 
 def links(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``a``, ``b``: the ids of vectors (``id``, ``t``, ``embedding``) with at least this cosine, the earlier one by (``t``, ``id``) first."""
+    """``a``, ``b``: the ids of vectors (``id``, ``t``, ``embedding``) with at least this cosine (6 decimals), the earlier one by (``t``, ``id``) first."""
     kind = vectors.schema["id"].dataType.simpleString()
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -74,7 +74,7 @@ def links(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) ->
             x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (matrix(left["embedding"]), matrix(right["embedding"])))
             p, q, s, t = left["id"].to_numpy(), right["id"].to_numpy(), left["t"].to_numpy(np.int64), right["t"].to_numpy(np.int64)
             for at in range(0, len(x), STEP):
-                r, c = np.nonzero(x[at : at + STEP] @ y.T >= threshold)
+                r, c = np.nonzero(np.round(x[at : at + STEP] @ y.T, 6) >= threshold)
                 r = r + at
                 keep = (s[r] < t[c]) | ((s[r] == t[c]) & (p[r] < q[c]))
                 out.append(pd.DataFrame({"a": p[r[keep]], "b": q[c[keep]]}))

@@ -7,6 +7,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweft.operators import blocks
+from codeweft.plans.materialize import materialize
+
 #: Kinds of observations that are made by the engine itself.
 AUTOMATIC = ("passive", "dead_end", "file_thrash", "auto")
 #: Days until an observation expires, by kind; other kinds do not.
@@ -203,30 +206,27 @@ def consolidate(obs: DataFrame, now: dt.datetime, threshold: float = 0.92) -> Da
     """``leader``, ``n``, ``members``, ``content``: clusters of live automatic observations (``id``, ``session_id``, ``content``,
     ``created_at``, ``kind``, ``expires_at``, ``embedding``) by greedy leaders in the order of time; clusters of one stay out.
 
-    Observations are clustered within their session: a session is bounded by an agent's run. The fold keeps leaders only and compares a
-    row with all of them at once.
+    Observations of all sessions meet in blocks. Rows with the same vector are one node, the earliest of them: they have the same links, so
+    they share a cluster. A node without an earlier link is a leader and takes what it links to; what is left is decided in the next
+    round. Then every other row goes to the earliest leader that it links to.
     """
-    import numpy as np
-    import pandas as pd
-
-    rows = live(obs, now).where("kind IN ('auto', 'passive') AND embedding IS NOT NULL AND session_id IS NOT NULL").select("session_id", "id", "content", "created_at", "embedding")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["created_at", "id"], kind="stable")
-        leaders: list[int] = []
-        members: list[list[int]] = []
-        x = np.stack([np.asarray(v, np.float64) for v in pdf["embedding"]])
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        for i in range(len(x)):
-            near = np.flatnonzero(x[leaders] @ x[i] >= threshold) if leaders else []
-            if len(near):
-                members[near[0]].append(i)
-            else:
-                leaders.append(i)
-                members.append([i])
-        ids, texts = list(pdf["id"]), list(pdf["content"])
-        big = [m for m in members if len(m) > 1]
-        cols = {"leader": [ids[m[0]] for m in big], "n": [len(m) for m in big], "members": [[ids[i] for i in m] for m in big], "content": [merge_texts([texts[i] for i in m]) for m in big]}
-        return pd.DataFrame({k: pd.Series(v, dtype="int32" if k == "n" else object) for k, v in cols.items()})
-
-    return rows.groupBy("session_id").applyInPandas(fold, CLUSTERS)
+    late = F.lit(2**63 - 1)
+    rows = live(obs, now).where("kind IN ('auto', 'passive') AND embedding IS NOT NULL").select("id", "content", F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), late).alias("t"), "embedding")
+    rows = materialize(rows.where(F.exists("embedding", lambda x: x != 0)), "rows")
+    node = materialize(rows.groupBy("embedding").agg(F.min(F.struct("t", "id")).alias("x")).select("x.t", "x.id", "embedding"), "node")
+    link = materialize(blocks.links(node, threshold), "links")
+    open_, members = link, node.select("id").where("false")
+    while not open_.isEmpty():
+        lead = open_.select(F.col("a").alias("id")).distinct().join(open_.select(F.col("b").alias("id")), "id", "left_anti")
+        taken = materialize(open_.join(lead, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct(), "taken")
+        members = members.unionByName(taken)
+        rest = open_.join(taken, F.col("a") == F.col("id"), "left_anti").join(taken, F.col("b") == F.col("id"), "left_anti")
+        open_ = materialize(rest, "open")
+    # who was not taken leads, also where the last of its links fell to a leader that was known sooner
+    order = node.select(F.col("id").alias("a"), F.struct("t", "id").alias("x"))
+    to = link.join(members, F.col("a") == F.col("id"), "left_anti").join(order, "a").groupBy(F.col("b").alias("id")).agg(F.min("x").alias("x")).select("id", F.col("x.id").alias("leader"))
+    own = node.select("id").join(to, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+    placed = rows.join(node.select("embedding", F.col("id").alias("node")), "embedding").join(own.withColumnRenamed("id", "node"), "node")
+    merged = F.udf(merge_texts, "string", useArrow=False)
+    g = placed.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct("t", "id", "content"))).alias("m")).where(F.size("m") > 1)
+    return g.select("leader", F.size("m").alias("n"), F.col("m.id").alias("members"), merged("m.content").alias("content"))

@@ -35,3 +35,22 @@ def test_r21_compares_all(spark):
     q = tasks(spark, SF).collect()
     want = brute([r.id for r in o], e.embed([r.content for r in o]), list(zip([r.query_id for r in q], e.embed([r.task for r in q]))), 20, 0.3)
     assert want and got == want
+
+
+def test_consolidate_over_sessions(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(70, 3)).astype("float32")
+    x[50:] = x[rng.integers(0, 20, 20)]
+    base = dt.datetime(2024, 1, 1)
+    rows = [(f"o{i:02}", f"s{i % 9}" if i % 10 else None, f"t{i}", base + dt.timedelta(minutes=i // 2), "auto", None, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id string, session_id string, content string, created_at timestamp_ntz, kind string, expires_at timestamp_ntz, embedding array<float>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    free, want = list(range(70)), set()
+    while free:
+        lead = free[0]
+        near = [i for i in free if i == lead or u[lead] @ u[i] >= 0.9]
+        free = [i for i in free if i not in near]
+        if len(near) > 1:
+            want.add((f"o{lead:02}", len(near), tuple(f"o{i:02}" for i in near), "\n".join(f"t{i}" for i in near)))
+    got = {(r.leader, r.n, tuple(r.members), r.content) for r in memory.consolidate(df, base, 0.9).collect()}
+    assert want and got == want
