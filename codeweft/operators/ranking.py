@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import anchors as A
 from codeweft.functions.text import CALLABLE, TYPE_DEFS, expand_seed, is_test_path, is_utility, pivot_eligible, query_terms
+from codeweft.operators import blocks
 from codeweft.plans.materialize import materialize
 
 #: Rank constants of the fusion, per retriever.
@@ -198,9 +199,7 @@ def adjacents(chosen: DataFrame, link: DataFrame, symbols: DataFrame, queries: D
 def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int = SEMANTIC_POOL) -> DataFrame:
     """``query_id``, ``id``, ``rank``, ``similarity``: the exact best k vectors (``id``, ``embedding``) per query vector.
 
-    Query vectors are those of a batch of tasks; they meet all vectors in blocks, and each task keeps k per query."""
-    dbl = lambda c: F.transform(c, lambda x: x.cast("double"))
-    dot = F.aggregate(F.zip_with(dbl(F.col("embedding")), dbl(F.col("q")), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    q = queries.select("query_id", F.col("embedding").alias("q"), F.size("embedding").alias("n"))
-    hits = vectors.select("id", "embedding", F.size("embedding").alias("n")).join(q, "n").select("query_id", "id", F.round(dot, 6).alias("similarity"))
-    return top(hits, ["query_id"], [F.desc("similarity"), F.asc("id")], k).select("query_id", "id", "rank", "similarity")
+    Query vectors are those of a batch of tasks; they meet all vectors of their length in
+    blocks, and each task keeps k per query. Of several vectors of an id the nearest counts."""
+    hits = blocks.nearest(vectors, queries, k)
+    return top(hits, ["query_id", "size"], [F.desc("similarity"), F.asc("id")], k).select("query_id", "id", "rank", "similarity")

@@ -151,3 +151,12 @@ def r09_semantic_topk(spark, sf_dir):
     e = table(spark, sf_dir, "symbol_embeddings").where("store_id = 0").where(F.size("embedding") == 96).where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     v = e.select(F.col("symbol_id").alias("id"), "embedding").distinct()
     return ranking.semantic_topk(v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id"))
+
+
+@CORE.add("r09_semantic_topk_all")
+def r09_semantic_topk_all(spark, sf_dir):
+    """Exact best vectors among the usable ones of all stores, per dimension, for every id divisible by 50."""
+    e = table(spark, sf_dir, "symbol_embeddings").where("symbol_id IS NOT NULL").join(table(spark, sf_dir, "embedding_store").select("store_id", "dim").dropDuplicates(["store_id"]), "store_id")
+    e = e.where(F.size("embedding") == F.col("dim")).where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0))
+    v = materialize(e.select(F.col("symbol_id").alias("id"), "embedding").distinct(), "usable")
+    return ranking.semantic_topk(v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id"))

@@ -3,7 +3,8 @@ import datetime as dt
 import numpy as np
 from conftest import SF
 
-from codeweft.operators import blocks, enrich, memory
+from codeweft.catalogue import CORE
+from codeweft.operators import blocks, enrich, memory, ranking
 from codeweft.plans import more_queries
 from codeweft.plans.search_queries import tasks
 from codeweft.sources.tables import observations
@@ -54,3 +55,21 @@ def test_consolidate_over_sessions(spark):
             want.add((f"o{lead:02}", len(near), tuple(f"o{i:02}" for i in near), "\n".join(f"t{i}" for i in near)))
     got = {(r.leader, r.n, tuple(r.members), r.content) for r in memory.consolidate(df, base, 0.9).collect()}
     assert want and got == want
+
+
+def test_r09_asks_all_stores(spark):
+    v = spark.read.parquet(f"{SF}/symbol_embeddings.parquet").collect()
+    dims = {r.store_id: r.dim for r in spark.read.parquet(f"{SF}/embedding_store.parquet").collect()}
+    ok = {(r.symbol_id, tuple(r.embedding)) for r in v if r.symbol_id is not None and r.embedding and len(r.embedding) == dims.get(r.store_id) and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)}
+    want = set()
+    for dim in set(dims.values()):
+        own = [(i, x) for i, x in ok if len(x) == dim]
+        want |= brute([i for i, _ in own], [x for _, x in own], [(i, x) for i, x in own if i % 50 == 0], 25, -9)
+    got = {(r.query_id, r.id, r.rank, r.similarity) for r in CORE.queries["r09_semantic_topk_all"](spark, SF).collect()}
+    assert {len(x) for i, x in ok if i % 50 == 0} >= {64} and got == want
+
+
+def test_topk_of_several_dimensions_and_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.6, 0.8]), (3, [1.0, 0.0, 0.0]), (1, [0.0, 0.0, 1.0])], "id long, embedding array<float>")
+    got = sorted((r.query_id, r.id, r.rank, r.similarity) for r in ranking.semantic_topk(df, df.where("id = 1").withColumnRenamed("id", "query_id"), 2).collect())
+    assert got == [(1, 1, 1, 1.0), (1, 1, 1, 1.0), (1, 2, 2, 0.8), (1, 3, 2, 0.0)]
