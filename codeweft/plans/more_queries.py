@@ -38,6 +38,16 @@ def x04_frames(spark, sf_dir):
 _STOPS = ", ".join(f"'{w}'" for w in A.STOP_WORDS)
 
 
+@CORE.add(
+    "x04_frames_all",
+    f"""SELECT doc_id, len(list_filter(regexp_extract_all(text, 'File "([^"]+)", line \\d+, in ([A-Za-z_<][\\w.<>]*)', 2), lambda x: NOT starts_with(x, '<') AND octet_length(encode(x)) >= 3 AND lower(x) NOT IN ({_STOPS}))) AS n
+    FROM documents WHERE text IS NOT NULL""",
+)
+def x04_frames_all(spark, sf_dir):
+    """Traceback frames of every document, synthetic and short names left out."""
+    return _docs(spark, sf_dir).select("doc_id", F.size(A.frames(F.col("text"))).cast("long").alias("n"))
+
+
 @CORE.add("x05_prose_names", f"SELECT doc_id, len(list_filter(regexp_extract_all(text, '([A-Za-z0-9_]{{4,}})', 1), lambda x: regexp_matches(x, '^[A-Za-z_]') AND (contains(x, '_') OR (regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]'))) AND lower(x) NOT IN ({_STOPS}))) AS n FROM documents WHERE text IS NOT NULL")
 def x05_prose_names(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(A.prose_names(F.col("text"))).cast("long").alias("n"))
