@@ -18,8 +18,9 @@ _DAYS = 36_500
 _LIVE = f"(expires_at IS NULL OR expires_at > {_NOW})"
 
 
-def _log(spark, sf_dir):
-    return stats.since(query_log(spark, sf_dir), NOW, _DAYS)
+def _log(spark, sf_dir, days=_DAYS):
+    """The log up to :data:`NOW`, as the SQL states it."""
+    return stats.since(query_log(spark, sf_dir), NOW, days).where(F.col("timestamp") <= F.lit(NOW))
 
 
 _L = f"(SELECT * FROM qlog WHERE timestamp <= {_NOW} AND timestamp >= {_NOW} - INTERVAL {_DAYS} DAY)"
@@ -27,7 +28,7 @@ _L = f"(SELECT * FROM qlog WHERE timestamp <= {_NOW} AND timestamp >= {_NOW} - I
 
 @CORE.add("a01_log_window", with_views(f"SELECT id, timestamp, task FROM qlog WHERE timestamp <= {_NOW} AND timestamp >= {_NOW} - INTERVAL 365 DAY"))
 def a01_log_window(spark, sf_dir):
-    return stats.since(query_log(spark, sf_dir), NOW, 365).select("id", "timestamp", "task")
+    return _log(spark, sf_dir, 365).select("id", "timestamp", "task")
 
 
 @CORE.add(
@@ -67,6 +68,18 @@ def a06_workspace_savings(spark, sf_dir):
     return stats.workspace_savings(_log(spark, sf_dir), symbols(spark, sf_dir))
 
 
+# the same reports over the whole log: later rows and rows without a time included
+_WHOLE = {
+    "a02_usage": lambda spark, sf_dir: stats.usage(query_log(spark, sf_dir)),
+    "a03_latency": lambda spark, sf_dir: stats.latency(query_log(spark, sf_dir)),
+    "a04_intents": lambda spark, sf_dir: stats.shares(query_log(spark, sf_dir), "intent"),
+    "a05_languages": lambda spark, sf_dir: stats.languages(query_log(spark, sf_dir)),
+    "a06_workspace_savings": lambda spark, sf_dir: stats.workspace_savings(query_log(spark, sf_dir), symbols(spark, sf_dir)),
+}
+for _name, _query in _WHOLE.items():
+    CORE.add(f"{_name}_all", CORE.sql[_name].replace(_L, "qlog"))(_query)
+
+
 @CORE.add(
     "a08_module_docs",
     with_views(
