@@ -1,16 +1,18 @@
 """Telling hand-written source files from generated, minified, vendored ones and data blobs (problem 1).
 
-Linear support-vector classifiers, one per kind, on hashed character n-grams of the bodies and on path components, with
-a few measured traits of the file (line lengths, share of digits, copies in other repositories, notices).
+Linear support-vector classifiers, one per kind, on hashed character n-grams and hashed path components. Three blocks of
+features: n-grams of the bodies without their leading comments, n-grams of the lines of the leading comments (where
+giveaway headers stand), and components of the path; besides, the shares of stubs and of bodies that other repositories
+hold as well. Nothing that makes a label is a feature.
 
 There are no labels, so the fit begins with labelling rules that name only clear cases (a notice that a tool wrote the
-file, a package manager's folder, one line of thousands of characters). The notices themselves are masked before n-grams
-are taken, and each clear case is shown to the learner once with and once without its notice and path, so that files of
-the same make without a notice are found too. Repositories, not files, are split between fit and validation.
+file, a package manager's folder, one line of thousands of characters). Each clear case is shown to the learner twice: as
+it is, and masked, that is without its leading comments and its path, so that the body's make is learnt as well. Code of
+other projects looks like any other, so the masked view is left out for that kind. Repositories, not files, are split
+between fit and validation.
 
-The fit takes at most ``FIT_FILES`` files, ``FIT_ROWS`` bodies of each and bodies up to ``FIT_BYTES``. Everything else
-covers all rows. N-gram scores of the bodies of a file simply add up, so files of any size are scored without bringing
-their bodies together.
+The fit takes at most ``FIT_FILES`` files, whole. Everything else covers all rows. N-grams are hashed and counted on the
+executors; the sums of a file's rows add up, so files of any size are scored without bringing their bodies together.
 """
 
 from __future__ import annotations
@@ -27,12 +29,16 @@ from pyspark.sql import functions as F
 from codeweft.llm.tokens import spread
 
 KINDS = ("generated", "minified", "vendored", "data")
-FIT_FILES = 2000
-FIT_ROWS = 16
-FIT_BYTES = 32_768
+FIT_FILES = 4000
 HASHED = 1 << 12
 PATH_HASHED = 1 << 11
+COMMENT_HASHED = 1 << 11
 GRAM = 4
+COMMENT_GRAM = 5
+#: Lengths of the blocks in the learner's space; a scale of 1 is about the reach of a margin.
+BODY_SCALE, COMMENT_SCALE, PATH_SCALE, STUB_SCALE = 1.0, 2.0, 0.8, 0.5
+#: Cost of a masked row beside that of the row as it is.
+MASKED_COST = 0.5
 VALIDATION_SHARE = 5  # one repository in five
 
 # ---- notices ----------------------------------------------------------------------------------------------------------
@@ -177,6 +183,45 @@ def gram_scores(datas: list[bytes], weights: np.ndarray) -> np.ndarray:
     return out
 
 
+_DIGITS = re.compile(r"[0-9]+")
+_RULES = re.compile(r"[\s/*#!<>=-]+")
+
+
+def comment_grams(comments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash values, row of each, weight of each) of the character n-grams of the lines of some comments, in lower case,
+    with numbers as 0. The n-grams of a line weigh one together in square, however long the line or the comment."""
+    lines, owners = [], []
+    for i, c in enumerate(comments):
+        for line in c.splitlines() if c else ():
+            line = _RULES.sub(" ", _DIGITS.sub("0", line.lower())).strip()
+            if line:
+                lines.append(f" {line} ".encode("utf-8", "replace"))
+                owners.append(i)
+    sizes = np.array([len(x) for x in lines], np.int64)
+    if not len(sizes) or sizes.sum() < COMMENT_GRAM:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0)
+    raw = np.frombuffer(b"".join(lines), np.uint8)
+    at = np.repeat(np.arange(len(lines)), sizes)
+    size = len(raw) - COMMENT_GRAM + 1
+    h = np.zeros(size, np.uint32)
+    for i in range(COMMENT_GRAM):
+        h *= np.uint32(0x01000193)
+        h += raw[i : size + i]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    inside = at[:size] == at[COMMENT_GRAM - 1 :]
+    line = at[:size][inside]
+    per_line = np.bincount(line, minlength=len(lines))
+    return h[inside] & np.uint32(COMMENT_HASHED - 1), np.array(owners)[line], 1.0 / np.sqrt(per_line[line])
+
+
+def comment_scores(comments: list[str], weights: np.ndarray) -> np.ndarray:
+    """Per comment the sums of ``weights`` (hash x kinds) over its n-grams."""
+    h, o, c = comment_grams(comments)
+    return np.stack([np.bincount(o, weights[h, j] * c, minlength=len(comments)) for j in range(weights.shape[1])], axis=1) if len(comments) else np.zeros((0, weights.shape[1]))
+
+
 _LITERAL = re.compile(rb"-?\b\d+(?:\.\d+)?\b[,)\s]|0x[0-9a-fA-F]{2,}[,\s]|\"[A-Za-z0-9+/=]{24,}\"")
 _ACCESS = re.compile(rb"0x[0-9a-f]{7,8}\b")
 TRAITS = ("tool", "copy", "own", "packed", "longest", "bytes", "lines", "digits", "blanks", "literal", "hexes", "stub", "constant", "inserts", "rows", "copied", "sized")
@@ -209,29 +254,11 @@ def traits(bodies: list[str], datas: list[bytes], comments: list[str], kinds: li
     return out
 
 
-#: Dimensions that the learner sees for a file's traits.
-N_TRAITS = 32
-
-
-def trait_vector(path: str, t: dict[str, float]) -> np.ndarray:
-    below = path.split("/", 1)[-1]
-    rows, size, lines = max(t["rows"], 1.0), max(t["bytes"], 1.0), max(t["lines"], 1.0)
-    per_line = size / lines
-    digits, blanks, lit = t["digits"] / size, t["blanks"] / size, t["literal"] / size
-    flags = [
-        t["tool"], t["copy"], t["own"], t["packed"], t["longest"] > 500, t["longest"] > 2000, per_line > 120, per_line > 400, digits > 0.12, digits > 0.3, blanks < 0.08, blanks < 0.03, lit > 0.3, lit > 0.6, lit > 0.3 and size > 600,
-        t["hexes"] / rows > 0.4, t["hexes"] / rows > 0.9, t["stub"] / rows > 0.5, t["constant"] / rows > 0.5, t["inserts"] / rows > 3, t["inserts"] / rows > 15, t["sized"] > 0 and t["copied"] / max(t["sized"], 1) > 0.5, t["sized"] > 1 and t["copied"] / max(t["sized"], 1) > 0.8,
-        blanks < 0.12 and per_line > 200, per_line < 25, size / rows < 120,
-        bool(_PACKAGES.search(below)), bool(_COPIED.search(below)), bool(_VERSIONED.search(below)), bool(_MADE.search(below)), bool(_SHRUNK.search(below)), bool(_BLOB.search(below)),
-    ]
-    return np.array(flags, np.float32)
-
-
 def clear_case(path: str, t: dict[str, float]) -> str | None:
     """The kind of a clear case by notice, path or make; ``""`` for clearly hand-written, None where it is open."""
     below = path.split("/", 1)[-1]
     rows, size, lines = max(t["rows"], 1.0), max(t["bytes"], 1.0), max(t["lines"], 1.0)
-    if t["copy"] or _PACKAGES.search(below) or _COPIED.search(below) or _VERSIONED.search(below) or (t["sized"] > 1 and t["copied"] == t["sized"]):
+    if t["copy"] or _PACKAGES.search(below) or _COPIED.search(below) or _VERSIONED.search(below):
         return "vendored"
     blanks = t["blanks"] / size
     if t["packed"] or (size / lines > 300 and blanks < 0.08):
@@ -254,96 +281,105 @@ def clear_case(path: str, t: dict[str, float]) -> str | None:
 
 @dataclass
 class Model:
-    """Weights of all kinds: of hashed n-grams, hashed path components and traits, and the intercepts."""
+    """Weights of all kinds (a row each): of the n-grams of bodies, the n-grams of comments, path components and the shares
+    of stubs and of copied bodies, and the intercepts."""
 
     gram: np.ndarray
+    comment: np.ndarray
     path: np.ndarray
-    trait: np.ndarray
+    share: np.ndarray
     bias: np.ndarray
+    #: kind -> validation files of the kind that are found without their leading comments and paths
+    masked: dict[str, int]
 
-    def margins(self, gram_sums: np.ndarray, n_grams: float, path: str, t: dict[str, float]) -> np.ndarray:
-        m = self.bias + self.trait @ trait_vector(path, t)
+    def margins(self, gram_sums: np.ndarray, n_grams: float, comment_sums: np.ndarray, path: str, stub: float, copied: float) -> np.ndarray:
+        m = self.bias + comment_sums + self.share @ np.array([stub, copied])
         if n_grams:
             m = m + gram_sums / n_grams
         idx = [_hash(p, PATH_HASHED) for p in path_parts(path)]
         return m + self.path[:, idx].sum(axis=1)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, epochs: int = 40, seed: int = 7) -> np.ndarray:
-    """Linear SVM (hinge loss, L2) by dual coordinate descent; ``c`` is the cost per row, 0 leaves a row out. The last
-    column is the bias."""
+def fit_svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, cut: int, epochs: int = 60, seed: int = 7) -> np.ndarray:
+    """Linear SVM (hinge loss, L2) by dual coordinate descent on two views of every row: whole, and its first ``cut`` columns
+    only. ``c`` has the cost of the whole rows, then that of the cut ones; 0 leaves one out."""
     n, d = x.shape
-    w, alpha = np.zeros(d, np.float32), np.zeros(n)
-    norm = np.einsum("ij,ij->i", x, x).astype(np.float64) + 1e-9
+    w, alpha = np.zeros(d, np.float32), np.zeros(2 * n)
+    head = x[:, :cut]
+    norm = np.concatenate([np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", head, head)]).astype(np.float64) + 1e-9
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        g = y * (x @ w) - 1
+        g = np.concatenate([y * (x @ w), y * (head @ w[:cut])]) - 1
         open_rows = np.flatnonzero(((g < -1e-3) & (alpha < c)) | ((g > 1e-3) & (alpha > 0)))  # only these can move
         if not len(open_rows):
             break
         for i in rng.permutation(open_rows):
-            g = y[i] * float(x[i] @ w) - 1
+            row, v = (x[i], w) if i < n else (head[i - n], w[:cut])
+            t = y[i % n]
+            g = t * float(row @ v) - 1
             a = min(max(alpha[i] - g / norm[i], 0.0), c[i])
             if a != alpha[i]:
-                w += np.float32((a - alpha[i]) * y[i]) * x[i]
+                v += np.float32((a - alpha[i]) * t) * row
                 alpha[i] = a
     return w
 
 
-PATH_SCALE = 0.6
-
-
 def fit(files: pd.DataFrame) -> tuple[Model, dict[str, tuple[int, int, int]]]:
-    """(model, {kind: (validation files of the kind, found, found in all)}) from one row per file: ``path``, the traits and
-    ``counts`` (hashed n-gram counts)."""
-    n = len(files)
-    cases = [clear_case(p, t) for p, t in zip(files["path"], files[list(TRAITS)].to_dict("records"))] if n else []
+    """(model, {kind: (validation files of the kind, found, found in all)}) from one row per file: ``path``,
+    the label's traits, ``copied``, ``sized``, ``grams`` and ``comments`` (hashed counts). The masked row of a file has
+    neither leading comments nor a path."""
+    cases = [clear_case(p, t) for p, t in zip(files["path"], files[list(TRAITS)].to_dict("records"))]
     use = [i for i, c in enumerate(cases) if c is not None]
-    g = np.stack([files["counts"].iloc[i] for i in use]).astype(np.float32) if use else np.zeros((0, HASHED), np.float32)
-    g /= np.maximum(g.sum(axis=1, keepdims=True), 1)
-    scale = 1.0 / (g.std(axis=0) + 2e-4) if len(g) else np.ones(HASHED, np.float32)
-    scale *= 1.5 / max(1.0, float(np.sqrt(((g * scale) ** 2).sum(axis=1).mean()))) if len(g) else 1.0
-    g *= scale
-    p = np.zeros((len(use), PATH_HASHED), np.float32)
-    t = np.zeros((len(use), N_TRAITS), np.float32)
+    n, cut = len(use), HASHED + 3
+    x = np.zeros((n, cut + COMMENT_HASHED + PATH_HASHED), np.float32)
     for r, i in enumerate(use):
+        x[r, :HASHED] = files["grams"].iloc[i]
+        x[r, cut : cut + COMMENT_HASHED] = files["comments"].iloc[i]
         for part in path_parts(files["path"].iloc[i]):
-            p[r, _hash(part, PATH_HASHED)] += PATH_SCALE
-        t[r] = trait_vector(files["path"].iloc[i], {k: float(files[k].iloc[i]) for k in TRAITS})
+            x[r, cut + COMMENT_HASHED + _hash(part, PATH_HASHED)] += PATH_SCALE
+        x[r, HASHED : cut] = _shares(*(float(files[k].iloc[i]) for k in ("stub", "rows", "copied", "sized"))) + (1.0,)
+    g = x[:, :HASHED]
+    g /= np.maximum(g.sum(axis=1, keepdims=True), 1)
+    scale = 1.0 / (g.std(axis=0) + 2e-4) if n else np.ones(HASHED, np.float32)
+    if n:
+        scale *= BODY_SCALE / max(1e-9, float(np.sqrt(((g * scale) ** 2).sum(axis=1).mean())))
+    g *= scale
+    x[:, cut : cut + COMMENT_HASHED] *= COMMENT_SCALE
     kind = np.array([cases[i] for i in use], dtype=object)
     held = np.array([_hash(files["path"].iloc[i].split("/", 1)[0], VALIDATION_SHARE) == 0 for i in use], bool)
-    n_use, width = len(use), HASHED + PATH_HASHED + N_TRAITS + 1
-    x = np.zeros((2 * n_use, width), np.float32)  # each file as it is, and without notice and path
-    x[:n_use, :HASHED] = x[n_use:, :HASHED] = g
-    x[:n_use, HASHED : HASHED + PATH_HASHED] = p
-    x[:n_use, HASHED + PATH_HASHED : -1] = x[n_use:, HASHED + PATH_HASHED : -1] = t
-    x[n_use:, HASHED + PATH_HASHED : HASHED + PATH_HASHED + 3] = 0
-    x[:, -1] = 1
-    del g, p, t
 
     def weights(rows: np.ndarray) -> np.ndarray:
         out = []
         for k in KINDS:
             mine = kind == k
             if not (mine & rows).any() or not (~mine & rows).any():
-                out.append(np.r_[np.zeros(width - 1), -1.0])
+                w = np.zeros(x.shape[1])
+                w[cut - 1] = -1.0
+                out.append(w)
                 continue
-            y = np.tile(np.where(mine, 1.0, -1.0), 2)
-            used = np.concatenate([rows, rows & (k != "vendored")])  # vendored code looks like any other
-            cost = np.where(y > 0, min(6.0, (used & (y < 0)).sum() / (used & (y > 0)).sum()) ** 0.5, 1.0) * used
-            out.append(fit_svm(x, y, cost))
+            cost = np.where(mine, min(6.0, (~mine & rows).sum() / (mine & rows).sum()) ** 0.5, 1.0) * rows
+            out.append(fit_svm(x, np.where(mine, 1.0, -1.0), np.concatenate([cost, cost * MASKED_COST * (k != "vendored")]), cut))
         return np.stack(out)
 
-    report = {}
+    report, hidden = {}, {}
     if held.any() and (~held).any():
         w = weights(~held)
-        m = x[:n_use][held] @ w.T
+        m, bare = x[held] @ w.T, x[held, :cut] @ w[:, :cut].T
         for j, k in enumerate(KINDS):
             truth = kind[held] == k
             report[k] = (int(truth.sum()), int((truth & (m[:, j] > 0)).sum()), int((m[:, j] > 0).sum()))
-    w = weights(np.ones(len(use), bool)) if use else np.hstack([np.zeros((len(KINDS), width - 1)), -np.ones((len(KINDS), 1))])
-    a, b = HASHED, HASHED + PATH_HASHED
-    return Model((w[:, :a] * scale).astype(np.float32), (w[:, a:b] * PATH_SCALE).astype(np.float32), w[:, b : b + N_TRAITS].astype(np.float32), w[:, -1]), report
+            hidden[k] = int((truth & (bare[:, j] > 0)).sum())
+    if n:
+        w = weights(np.ones(n, bool))
+    else:
+        w = np.zeros((len(KINDS), x.shape[1]))
+        w[:, cut - 1] = -1.0
+    return Model(*(a.astype(np.float32) for a in (w[:, :HASHED] * scale, w[:, cut : cut + COMMENT_HASHED] * COMMENT_SCALE, w[:, cut + COMMENT_HASHED :] * PATH_SCALE, w[:, HASHED : cut - 1], w[:, cut - 1])), hidden), report
+
+
+def _shares(stub: float, rows: float, copied: float, sized: float) -> tuple[float, float]:
+    """Shares of stub rows and of bodies that another repository has as well, as the learner sees them."""
+    return STUB_SCALE * stub / max(rows, 1.0), copied / max(sized, 1.0)
 
 
 # ---- over tables ------------------------------------------------------------------------------------------------------
@@ -356,7 +392,6 @@ def _rows(symbols: DataFrame) -> DataFrame:
     )
 
 
-_ADDED = [k for k in TRAITS if k not in ("tool", "copy", "own", "packed", "longest", "copied", "sized")]
 _MOST = ["tool", "copy", "own", "packed", "longest"]
 
 
@@ -368,24 +403,77 @@ def _copied(rows: DataFrame) -> DataFrame:
     return big.join(wide, "h", "left").groupBy("path").agg(F.count("wide").cast("double").alias("copied"), F.count(F.lit(1)).cast("double").alias("sized"))
 
 
+_LABEL = [*TRAITS[:-2]]
+_COUNTED = HASHED + COMMENT_HASHED
+#: Stages in which the counts of a file are added up, so that a file in very many tasks is in none as a whole.
+_FAN = 256
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """``path``, the label's traits and ``counts``: the n-gram counts of bodies and comments, non-zero ones as
+    (positions, values) in bytes; a row per file."""
+    schema = "path string, part int, " + ", ".join(f"{k} double" for k in _LABEL) + ", at binary, counts binary"
+
+    def packed(path: str, part: int, t: np.ndarray, v: np.ndarray) -> dict:
+        at = np.flatnonzero(v)
+        return {"path": path, "part": part, **dict(zip(_LABEL, t)), "at": at.astype(np.uint16).tobytes(), "counts": v[at].astype(np.float32).tobytes()}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        part = context.partitionId() % _FAN if context else 0
+        sums: dict[str, list[np.ndarray]] = {}  # at most a row per file of the sample
+        for pdf in batches:
+            for path, some in pdf.groupby("path", sort=False):
+                bodies, comments, datas, masked = _prepared(some["body"])
+                t = traits(bodies, datas, comments, list(some["kind"]), list(some["stub"]))
+                t = np.concatenate([t[:, : len(_MOST)].max(axis=0), t[:, len(_MOST) :].sum(axis=0)])
+                v = np.zeros(_COUNTED, np.float32)
+                for a, b in pieces(masked):
+                    v[:HASHED] += np.bincount(grams(masked[a:b])[0], minlength=HASHED)
+                h, _, c = comment_grams(comments)
+                v[HASHED:] += np.bincount(h, c, minlength=COMMENT_HASHED)
+                _add(sums, path, t, v)
+        yield pd.DataFrame([packed(p, part, t, v) for p, (t, v) in sums.items()], columns=[c.split()[0] for c in schema.split(", ")])
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sums: dict[str, list[np.ndarray]] = {}
+        for r in pdf.to_dict("records"):
+            _add(sums, r["path"], np.array([r[k] for k in _LABEL]), unpacked(r["at"], r["counts"]))
+        return pd.DataFrame([packed(p, 0, t, v) for p, (t, v) in sums.items()], columns=[c.split()[0] for c in schema.split(", ")])
+
+    once = rows.mapInPandas(count, schema)
+    return once.groupBy("path", "part").applyInPandas(add, schema).groupBy("path").applyInPandas(add, schema).drop("part")
+
+
+def _add(sums: dict[str, list[np.ndarray]], path: str, t: np.ndarray, v: np.ndarray) -> None:
+    held = sums.get(path)
+    if held is None:
+        sums[path] = [t, v]
+        return
+    k = len(_MOST)
+    held[0][:k] = np.maximum(held[0][:k], t[:k])
+    held[0][k:] += t[k:]
+    held[1] += v
+
+
+def unpacked(at: bytes, counts: bytes) -> np.ndarray:
+    v = np.zeros(_COUNTED, np.float32)
+    v[np.frombuffer(at, np.uint16)] = np.frombuffer(counts, np.float32)
+    return v
+
+
 def fit_on(symbols: DataFrame, fit_files: int = FIT_FILES) -> tuple[Model, dict[str, tuple[int, int, int]]]:
     """Fit on a bounded sample of files: those with the smallest hashes of their paths."""
     rows = _rows(symbols)
     paths = rows.select("path").distinct().orderBy(F.xxhash64("path"), "path").limit(fit_files)
-    w = Window.partitionBy("path").orderBy(F.xxhash64("body"))
     some = rows.join(F.broadcast(paths), "path", "left_semi")  # at most fit_files paths
     copied = _copied(rows).join(F.broadcast(paths), "path", "left_semi")
-    taken = some.where(F.octet_length("body") <= FIT_BYTES).withColumn("r", F.row_number().over(w)).where(F.col("r") <= FIT_ROWS).drop("r").toPandas()
-    extra = copied.toPandas().set_index("path")
-    out = []
-    for path, part in taken.groupby("path", sort=True):
-        bodies, comments, datas, masked = _prepared(part["body"])
-        t = traits(bodies, datas, comments, list(part["kind"]), list(part["stub"]))
-        row = {k: (t[:, j].max() if k in _MOST else t[:, j].sum()) for j, k in enumerate(TRAITS[:-2])}
-        row |= {"copied": float(extra["copied"].get(path, 0.0)), "sized": float(extra["sized"].get(path, 0.0))}
-        counts = np.bincount(grams(masked)[0], minlength=HASHED).astype(np.float32)
-        out.append({"path": path, "counts": counts} | row)
-    return fit(pd.DataFrame(out, columns=["path", "counts", *TRAITS]))
+    files = _counted(spread(some)).join(copied, "path", "left").na.fill(0.0, ["copied", "sized"]).orderBy("path").toPandas()
+    counts = [unpacked(a, c) for a, c in zip(files["at"], files["counts"])]
+    files = files.drop(columns=["at", "counts"]).assign(grams=[v[:HASHED] for v in counts], comments=[v[HASHED:] for v in counts])
+    return fit(files)
 
 
 def _prepared(bodies: pd.Series) -> tuple[list[str], list[str], list[bytes], list[bytes]]:
@@ -400,24 +488,25 @@ def classify(symbols: DataFrame, model: Model) -> DataFrame:
     """``file_path``, ``kind`` (of the largest margin), ``margin`` of every file; ``kind`` is null for hand-written files.
 
     A file is every row with its path. Rows without a path are ignored, null and empty bodies add nothing, repeated rows
-    weigh double and change nothing else. Extra columns are ignored; an empty table gives an empty result.
+    weigh double and change little else. Extra columns are ignored; an empty table gives an empty result.
     """
     rows = _rows(symbols)
-    shared = symbols.sparkSession.sparkContext.broadcast(model)  # fixed size: kinds x (hashed n-grams + hashed paths)
-    names = [*TRAITS[:-2], *[f"m{j}" for j in range(len(KINDS))], "grams"]
+    shared = symbols.sparkSession.sparkContext.broadcast(model)  # fixed size: kinds x hashed features
+    n = len(KINDS)
+    names = ["stub", "rows", *[f"c{j}" for j in range(n)], *[f"m{j}" for j in range(n)], "grams"]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = np.ascontiguousarray(shared.value.gram.T)
+        w, wc = np.ascontiguousarray(shared.value.gram.T), np.ascontiguousarray(shared.value.comment.T)
         for pdf in batches:
             if not len(pdf):
                 continue
-            bodies, comments, datas, masked = _prepared(pdf["body"])
-            part = pd.DataFrame(np.hstack([traits(bodies, datas, comments, list(pdf["kind"]), list(pdf["stub"])), gram_scores(masked, w)]), columns=names)
-            by = part.groupby(pdf["path"].to_numpy())  # combined in the task, so a hot file sends one row per batch
-            yield pd.concat([by[_MOST].max(), by[[c for c in names if c not in _MOST]].sum()], axis=1)[names].rename_axis("path").reset_index()
+            _, comments, _, masked = _prepared(pdf["body"])
+            part = pd.DataFrame(np.hstack([pdf["stub"].to_numpy(float)[:, None], np.ones((len(pdf), 1)), comment_scores(comments, wc), gram_scores(masked, w)]), columns=names)
+            # combined in the task, so a hot file sends one row per batch
+            yield part.groupby(pdf["path"].to_numpy()).sum()[names].rename_axis("path").reset_index()
 
-    sums = spread(rows).mapInPandas(score, "path string, " + ", ".join(f"{n} double" for n in names))
-    per_file = sums.groupBy("path").agg(*[F.max(c).alias(c) for c in _MOST], *[F.sum(c).alias(c) for c in names if c not in _MOST])
+    sums = spread(rows.select("path", "body", "stub")).mapInPandas(score, "path string, " + ", ".join(f"{c} double" for c in names))
+    per_file = sums.groupBy("path").agg(*[F.sum(c).alias(c) for c in names])
     per_file = per_file.join(_copied(rows), "path", "left").na.fill(0.0, ["copied", "sized"])
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -425,7 +514,7 @@ def classify(symbols: DataFrame, model: Model) -> DataFrame:
         for pdf in batches:
             out = []
             for r in pdf.to_dict("records"):
-                v = m.margins(np.array([r[f"m{j}"] for j in range(len(KINDS))]), r["grams"], r["path"], r)
+                v = m.margins(np.array([r[f"m{j}"] for j in range(n)]), r["grams"], np.array([r[f"c{j}"] for j in range(n)]), r["path"], *_shares(r["stub"], r["rows"], r["copied"], r["sized"]))
                 j = int(np.argmax(v))
                 out.append((r["path"], KINDS[j] if v[j] > 0 else None, float(v[j])))
             yield pd.DataFrame(out, columns=["file_path", "kind", "margin"])

@@ -64,3 +64,29 @@ def test_classify(spark):
     assert H.classify(df.where("false"), model).count() == 0
     empty_model, _ = H.fit_on(df.where("false"))
     assert H.classify(df, empty_model).where("kind IS NOT NULL").count() == 0
+
+
+def test_what_decides(spark):
+    rows, truth = corpus(5)
+    df = spark.createDataFrame(rows, "file_path string, is_stub boolean, body string, kind string")
+    model, _ = H.fit_on(df)
+    made = [p for p, k in truth.items() if k]
+    found = lambda m: sum(r.kind is not None for r in H.classify(df, m).collect() if r.file_path in set(made))
+    assert found(model) >= 0.95 * len(made)
+    without = H.Model(0 * model.gram, 0 * model.comment, model.path, model.share, model.bias, {})
+    assert found(without) < 0.7 * len(made)
+    hidden = [("ws900/x/" + p.replace("/", "_"), s, b[len(H.leading_comment(b)) :], k) for p, s, b, k in rows if truth[p] in ("minified", "data", "generated")]
+    alone = H.classify(spark.createDataFrame(hidden, df.schema), model).where("kind IS NOT NULL").count()
+    assert alone >= 0.9 * len({h[0] for h in hidden})
+
+
+def test_comment_grams_add_up():
+    import numpy as np
+
+    a, b = "// Generated by tool 1.2.3\n// do not edit\n", "/** Merges. */"
+    w = np.random.default_rng(1).random((H.COMMENT_HASHED, 4))
+    both = H.comment_scores([a, b, "", a + b], w)
+    assert np.allclose(both[0] + both[1], both[3]) and not both[2].any()
+    assert np.allclose(H.comment_scores(["// Generated by tool 77.1.0\n// do not edit\n"], w)[0], both[0])
+    h, _, c = H.comment_grams([a])
+    assert abs(sum(c**2) - 2) < 1e-9  # one per line
