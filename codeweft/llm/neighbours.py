@@ -1,9 +1,12 @@
 """The k most similar vectors of every vector by sharded small-world graphs (problem 2).
 
-Vectors are normalised, identical directions are folded into one node, and the nodes of a dimension are dealt into shards
-of at most ``shard_rows``. Each shard gets a hierarchical navigable small-world graph, kept as flat neighbour arrays
-(one int32 matrix per level). Every node is looked up in every shard of its dimension, and the shards' answers are merged
-by cosine and id. Exact cosines are computed in double precision for all candidates that the graphs return.
+Identical vectors are folded into one node. The nodes of a dimension are dealt into cells: a pivot for every
+``shard_rows`` nodes is drawn from the nodes themselves, so dense regions get more of them, and a node belongs to its
+nearest pivot. A cell is a shard; one that came out more than twice as large is cut into several by hash. Each shard gets
+a hierarchical navigable small-world graph, kept as flat neighbour arrays (one int32 matrix per level). A node is looked
+up in the shards of its ``PROBES`` nearest cells (in all, as long as there are no more), so work and shuffle grow in
+proportion to the nodes. Exact cosines are computed in double precision for all that the graphs return, and the shards'
+answers are merged by cosine and id.
 
 Graphs are built by batch insertion: a batch is searched in the graph so far and among itself, neighbours are picked by
 the diversity rule of the published algorithm, and reverse links are added and pruned. Searches run for many queries at
@@ -23,7 +26,12 @@ SHARD_ROWS = 65_536
 LINKS = 16
 BUILD_BEAM = 40
 SEARCH_BEAM = 64
-QUERY_BLOCK_ROWS = 8192
+#: Most pivots of a dimension; they are broadcast, at most MAX_PIVOTS x dim floats.
+MAX_PIVOTS = 16_384
+#: Cells that a node is looked up in.
+PROBES = 8
+#: Queries that meet one copy of a graph.
+QUERY_BLOCK_ROWS = 32_768
 #: Queries searched side by side; the table of visited rows has BEAM_BLOCK x SHARD_ROWS bytes.
 BEAM_BLOCK = 512
 #: Members of a folded direction that its answer lists need: k others and oneself.
@@ -32,17 +40,17 @@ _SPARE = 1
 
 def usable(vectors: DataFrame, stores: DataFrame) -> DataFrame:
     """``symbol_id``, ``dim``, ``embedding`` of the usable vectors: not null, of the length that the store states, all
-    elements finite, not all zero. Exact repeats count once; the store's ``count`` is not read."""
+    elements finite, not all zero. The store's ``count`` is not read, and repeats are still there."""
     v = vectors.select(F.col("symbol_id").cast("long").alias("symbol_id"), "store_id", F.col("embedding").cast("array<float>").alias("embedding"))
     # the stores are a few dozen rows at any size; the size of the table is left to the planner to check
     s = stores.select("store_id", F.col("dim").cast("int").alias("dim")).where("dim > 0").dropDuplicates(["store_id"])
-    ok = (
+    return (
         v.where(F.col("symbol_id").isNotNull() & F.col("embedding").isNotNull())
         .join(s, "store_id")
         .where(F.size("embedding") == F.col("dim"))
         .where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0))
+        .select("symbol_id", "dim", "embedding")
     )
-    return ok.select("symbol_id", "dim", "embedding").dropDuplicates()
 
 
 class Graph:
@@ -264,90 +272,146 @@ def diverse(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, k: int, fill: boo
     return out
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in rows])
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, np.float64)
     scale = np.abs(x).max(axis=1, keepdims=True)
     x = x / scale
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def similar(vectors: DataFrame, stores: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
+def similar(vectors: DataFrame, stores: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM, probes: int = PROBES) -> DataFrame:
     """``id``, ``other``, ``cosine`` (6 decimals), ``place`` (1..k): the k most similar symbols of each usable vector.
 
     Equal cosines are ordered by the smaller id; a symbol is never its own neighbour. Vectors of different dimension are
-    never compared. A dimension with one vector gives no rows. A symbol with several different vectors of one dimension
-    takes part with its first (in element order). Nulls, NaN, wrong lengths and zero vectors are left out; exact repeats
-    count once; an empty table gives an empty result.
+    never compared. A dimension with one vector gives no rows. All different vectors of a symbol take part; its list has
+    every other symbol once, with the best cosine between any of their vectors. Nulls, NaN, wrong lengths and zero vectors
+    are left out; exact repeats count once; an empty table gives an empty result.
 
     Nodes are distinct vectors, so a vector shared by a third of all rows is one node; of its ids the smallest k + 1 stand
     for it as neighbours. Its list is computed once and spread over its ids.
     """
-    ok = usable(vectors, stores)
-    one = ok.groupBy("dim", "symbol_id").agg(F.min("embedding").alias("embedding"))
-    member = one.select("dim", "symbol_id", F.xxhash64("dim", "embedding").alias("node"), "embedding")
-    members = materialize(member, "members")
-    top = Window.partitionBy("dim", "node").orderBy("symbol_id")
+    ok = usable(vectors, stores).withColumn("node", F.xxhash64("dim", "embedding"))
+    members = materialize(ok.select("dim", "node", F.col("symbol_id").alias("id")).distinct(), "members")
+    top = Window.partitionBy("dim", "node").orderBy("id")
     # the row limit is pushed below the shuffle, so a hot node sends k + 1 rows per task
-    few = members.select("dim", "node", "symbol_id").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + _SPARE)
-    faces = few.groupBy("dim", "node").agg(F.array_sort(F.collect_list("symbol_id")).alias("faces"))
-    vecs = members.groupBy("dim", "node").agg(F.first("embedding").alias("embedding"))
-    sizes = vecs.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
-    nodes = (
-        vecs.join(faces, ["dim", "node"])
-        .join(F.broadcast(sizes), "dim")  # one row per dimension
-        .withColumn("shards", F.ceil(F.col("n") / F.lit(shard_rows)).cast("int"))
-        .withColumn("shard", F.pmod(F.col("node"), F.col("shards")).cast("int"))
-    )
-    nodes = materialize(nodes.select("dim", "node", "embedding", "faces", "n", "shards", "shard"), "nodes")
+    few = members.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + _SPARE)
+    faces = few.groupBy("dim", "node").agg(F.array_sort(F.collect_list("id")).alias("faces"))
+    nodes = ok.groupBy("dim", "node").agg(F.first("embedding").alias("embedding"))
+    nodes = materialize(nodes.join(faces, ["dim", "node"]), "nodes")
+    placed = materialize(_placed(nodes, shard_rows, probes), "placed")
+    asked = placed.select("dim", F.posexplode("cells").alias("at", "cell"))
+    cells = asked.groupBy("dim", "cell").agg(F.sum((F.col("at") == 0).cast("long")).alias("n"), F.count(F.lit(1)).alias("asks"))
+    # one row per cell with nodes, at most MAX_PIVOTS per dimension
+    cells = cells.where("n > 0").select("dim", "cell", F.ceil(F.col("n") / F.lit(2 * shard_rows)).cast("int").alias("subs"), F.ceil(F.col("asks") / F.lit(QUERY_BLOCK_ROWS)).cast("int").alias("blocks"))
+    cells = materialize(cells, "cells")
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", kind="stable")
-        g = Graph(_unit(pdf["embedding"]).astype(np.float32))
-        return pd.DataFrame([{"dim": key[0], "shard": key[1], "n": pdf["n"].iloc[0], "nodes": pdf["node"].to_numpy(np.int64).tobytes(), **g.to_bytes()}])
-
-    graphs = materialize(
-        nodes.select("dim", "shard", "n", "node", "embedding").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, n long, nodes binary, x binary, sizes binary, members binary, links binary"), "graphs"
+        raw = np.stack(pdf["embedding"].to_numpy()).astype(np.float32)
+        g = Graph(_unit(raw).astype(np.float32)).to_bytes()
+        sizes = pdf["faces"].map(len).to_numpy(np.int32)
+        return pd.DataFrame([{"dim": key[0], "cell": key[1], "sub": key[2], "nodes": pdf["node"].to_numpy(np.int64).tobytes(), "faces": np.concatenate(pdf["faces"].to_numpy()).astype(np.int64).tobytes(), "n_faces": sizes.tobytes(), **g, "x": raw.tobytes()}])
+
+    home = placed.withColumn("cell", F.col("cells")[0]).join(F.broadcast(cells), ["dim", "cell"]).withColumn("sub", F.pmod("node", "subs").cast("int"))
+    graphs = home.select("dim", "cell", "sub", "node", "embedding", "faces").groupBy("dim", "cell", "sub").applyInPandas(
+        build, "dim int, cell int, sub int, nodes binary, faces binary, n_faces binary, x binary, sizes binary, members binary, links binary"
     )
-    # every query block meets every graph of its dimension; a block is bounded, and so is a graph
-    n_blocks = F.ceil(F.col("n") / F.lit(QUERY_BLOCK_ROWS)).cast("int")
-    blocks = nodes.select("dim", "node", "embedding", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("block"))
-    spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    graphs = materialize(graphs, "graphs")
+    # a block of the queries of a cell meets one copy of its graph: both sides grow in proportion to the nodes
+    queries = placed.select("dim", "node", "embedding", F.explode("cells").alias("cell")).join(F.broadcast(cells), ["dim", "cell"])
+    queries = queries.select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "node", "embedding")
+    copies = graphs.join(F.broadcast(cells), ["dim", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("subs", "blocks")
 
     def look_up(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"dim": [], "node": [], "near": []}
-        if len(left) and len(right):
-            r = right.iloc[0]
-            g = Graph.from_bytes(int(r["dim"]), {c: r[c] for c in ("x", "sizes", "members", "links")})
-            ids = np.frombuffer(r["nodes"], np.int64)
-            rows, _ = g.search(_unit(left["embedding"]).astype(np.float32), k + _SPARE + 2, beam)
-            at, col = np.nonzero(rows >= 0)
-            out = {"dim": left["dim"].to_numpy()[at], "node": left["node"].to_numpy(np.int64)[at], "near": ids[rows[at, col]]}
-        return pd.DataFrame(out)
-
-    near = blocks.groupBy("dim", "shard", "block").cogroup(spread.groupBy("dim", "shard", "block")).applyInPandas(look_up, "dim int, node long, near long")
-    return _merge(near, nodes, members, k)
-
-
-def _merge(near: DataFrame, nodes: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """Exact cosines of the candidates, the best k per symbol over all shards."""
-    a = nodes.select("dim", F.col("node").alias("node"), F.col("embedding").alias("ea"))
-    b = nodes.select("dim", F.col("node").alias("near"), F.col("embedding").alias("eb"), "faces")
-    pairs = near.join(a, ["dim", "node"]).join(b, ["dim", "near"])
-    pairs = pairs.select("dim", "node", "near", "faces", cosine(F.col("ea"), F.col("eb")).alias("cosine"))
+        if not len(left) or not len(right):
+            return pd.DataFrame({"dim": [], "node": [], "best": []})
+        r = right.iloc[0]
+        g = Graph.from_bytes(int(r["dim"]), {c: r[c] for c in ("x", "sizes", "members", "links")})
+        unit = _unit(g.x)
+        g.x = unit.astype(np.float32)
+        sizes = np.frombuffer(r["n_faces"], np.int32)
+        best = []
+        for a in range(0, len(left), 4096):  # bounds the arrays of found rows
+            q = _unit(np.stack(left["embedding"].iloc[a : a + 4096].to_numpy()))
+            rows, _ = g.search(q.astype(np.float32), k + _SPARE + 2, beam)
+            best += nearest(q, unit, rows, np.frombuffer(r["faces"], np.int64), sizes, k + _SPARE)
+        return pd.DataFrame({"dim": left["dim"].to_numpy(), "node": left["node"].to_numpy(np.int64), "best": best})
+
+    keys = ["dim", "cell", "sub", "block"]
+    near = queries.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(look_up, f"dim int, node long, best {_BEST}")
+    lists = near.groupBy("dim", "node").agg(_once(F.flatten(F.collect_list("best")), k + _SPARE).alias("best"))
     # k + 1 ids per node are enough for every id of the node: at most one of them is the asking id itself
-    w = Window.partitionBy("dim", "node").orderBy(F.desc("cosine"), F.asc("other"))
-    lists = pairs.select("dim", "node", "cosine", F.explode("faces").alias("other")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + _SPARE)
-    lists = lists.groupBy("dim", "node").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "other"))).alias("best"))
-    mine = members.select("dim", "node", F.col("symbol_id").alias("id")).join(lists, ["dim", "node"])
-    best = mine.select("id", F.posexplode(F.slice(F.filter("best", lambda x: x["other"] != F.col("id")), 1, k)).alias("p", "x"))
-    return best.select("id", F.col("x.other").alias("other"), (-F.col("x.d")).alias("cosine"), (F.col("p") + 1).alias("place"))
+    mine = members.join(lists, ["dim", "node"]).groupBy("dim", "id").agg(F.flatten(F.collect_list("best")).alias("best"))
+    mine = mine.select("id", F.posexplode(_once(F.filter("best", lambda x: x["other"] != F.col("id")), k)).alias("p", "x"))
+    return mine.select("id", F.col("x.other").alias("other"), (-F.col("x.d")).alias("cosine"), (F.col("p") + 1).alias("place"))
+
 
+_BEST = "array<struct<d: double, other: bigint>>"
 
-def cosine(a, b):
-    """Cosine of two float arrays in double precision, rounded to 6 decimals."""
-    dbl = lambda v: F.transform(v, lambda x: x.cast("double"))
-    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return F.round(dot(dbl(a), dbl(b)) / (F.sqrt(dot(dbl(a), dbl(a))) * F.sqrt(dot(dbl(b), dbl(b)))), 6)
+
+def _placed(nodes: DataFrame, shard_rows: int, probes: int) -> DataFrame:
+    """``nodes`` with ``cells``: the numbers of the nearest cells, the node's own first.
+
+    Pivots are the nodes with the smallest hashes; the driver and the tasks hold at most MAX_PIVOTS of a dimension.
+    """
+    spark = nodes.sparkSession
+    pivots: dict[int, np.ndarray] = {}
+    for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per dimension
+        want = min(MAX_PIVOTS, -(-int(r.n) // shard_rows))
+        if want > 1:
+            few = nodes.where(F.col("dim") == int(r.dim)).orderBy(F.xxhash64("node", F.lit(1)), "node").limit(want).select("embedding").toPandas()
+            pivots[int(r.dim)] = _unit(np.stack(few["embedding"].to_numpy())).astype(np.float32)
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def place(batches):
+        for pdf in batches:
+            cells = np.empty(len(pdf), object)
+            for dim in pdf["dim"].unique():
+                here, p = np.flatnonzero(pdf["dim"].to_numpy() == dim), shared.value.get(int(dim))
+                if p is None:
+                    for i in here:
+                        cells[i] = [0]
+                    continue
+                n = min(probes, len(p))
+                for a in range(0, len(here), 1024):
+                    part = here[a : a + 1024]
+                    sims = _unit(np.stack(pdf["embedding"].iloc[part].to_numpy())).astype(np.float32) @ p.T
+                    far = np.argpartition(-sims, n - 1, axis=1)[:, :n] if n < len(p) else np.tile(np.arange(n), (len(part), 1))
+                    order = np.argsort(-np.take_along_axis(sims, far, 1), axis=1, kind="stable")
+                    for i, row in zip(part, np.take_along_axis(far, order, 1)):
+                        cells[i] = row
+            yield pdf.assign(cells=list(cells))
+
+    return nodes.mapInPandas(place, "dim int, node long, embedding array<float>, faces array<long>, cells array<int>")
+
+
+def nearest(q: np.ndarray, x: np.ndarray, rows: np.ndarray, faces: np.ndarray, sizes: np.ndarray, k: int) -> list[list[dict]]:
+    """Per query the ``k`` best ids behind the rows that were found: [{d: minus the cosine, other: id}], best first, each id
+    once. ``sizes`` has the number of each row's ids, which stand one after the other in ``faces``."""
+    ends = np.cumsum(sizes)
+    at, col = np.nonzero(rows >= 0)
+    row = rows[at, col]
+    d = -np.round(np.einsum("ij,ij->i", q[at], x[row]), 6)
+    n = sizes[row]
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    other = faces[np.repeat(ends[row] - n, n) + inner]
+    at, d = np.repeat(at, n), np.repeat(d, n)
+    order = np.lexsort((d, other, at))
+    at, d, other = at[order], d[order], other[order]
+    first = np.ones(len(at), bool)
+    first[1:] = (at[1:] != at[:-1]) | (other[1:] != other[:-1])
+    at, d, other = at[first], d[first], other[first]
+    order = np.lexsort((other, d, at))
+    at, d, other = at[order], d[order], other[order]
+    starts = np.searchsorted(at, np.arange(len(q)))
+    stops = np.minimum(np.searchsorted(at, np.arange(len(q)), "right"), starts + k)
+    return [[{"d": a, "other": b} for a, b in zip(d[s:e].tolist(), other[s:e].tolist())] for s, e in zip(starts, stops)]
+
+
+def _once(best, n: int):
+    """The ``n`` first of a list of (d, other) in order, each ``other`` once."""
+    ordered = F.array_sort(best)
+    return F.slice(F.filter(ordered, lambda x, i: (i == 0) | ~F.exists(F.slice(ordered, 1, i), lambda y: y["other"] == x["other"])), 1, n)
 
 
 def recall(found: DataFrame, vectors: DataFrame, stores: DataFrame, k: int = 5, one_in: int = 50) -> DataFrame:
@@ -355,26 +419,31 @@ def recall(found: DataFrame, vectors: DataFrame, stores: DataFrame, k: int = 5,
 
     The queries are compared with all vectors in blocks of rows; each task keeps k per query only.
     """
-    ok = materialize(usable(vectors, stores).groupBy("dim", "symbol_id").agg(F.min("embedding").alias("embedding")), "truth")
-    q = ok.where(F.col("symbol_id") % one_in == 0)
-    packed = q.select("dim", F.col("symbol_id").alias("id"), "embedding").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
-    rows = ok.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    ok = materialize(usable(vectors, stores).distinct(), "truth")
+    q = ok.where(F.col("symbol_id") % one_in == 0).select("dim", F.col("symbol_id").alias("id"), "embedding")
+    n_blocks = max(1, -(-q.count() // 8192))
+    n_parts = max(8, -(-ok.count() // 65_536))
+    asks = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    rows = ok.withColumn("part", F.pmod(F.xxhash64("symbol_id"), F.lit(n_parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def brute(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "other": [], "c": []})
-        a, b, ids = _unit(left["embedding"]), _unit(right["embedding"]), right["symbol_id"].to_numpy(np.int64)
+        b, ids = _unit(np.stack(right["embedding"].to_numpy())), right["symbol_id"].to_numpy(np.int64)
+        n = np.arange(len(ids), dtype=np.int32)
         out = []
-        for i, c in zip(left["id"].to_numpy(np.int64), np.round(a @ b.T, 6)):
-            keep = ids != i
-            order = np.lexsort((ids[keep], -c[keep]))[:k]
-            out.append(pd.DataFrame({"id": i, "other": ids[keep][order], "c": c[keep][order]}))
-        return pd.concat(out)
-
-    salt = F.pmod(F.xxhash64("symbol_id"), F.lit(32)).cast("int")
-    parts = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(31)))).groupBy("dim", "block", "part").cogroup(rows.withColumn("part", salt).groupBy("dim", "block", "part")).applyInPandas(brute, "id long, other long, c double")
+        for a in range(0, len(left), 256):
+            some = left.iloc[a : a + 256]
+            sims = np.round(_unit(np.stack(some["embedding"].to_numpy())) @ b.T, 6)
+            for i, c in zip(some["id"].to_numpy(np.int64), sims):
+                best = nearest(np.ones((1, 1)), c[:, None], n[None, c >= np.partition(c, -min(8 * k, len(c)))[-min(8 * k, len(c))]], ids, np.ones(len(ids), np.int32), k + 1)[0]
+                out += [(i, x["other"], -x["d"]) for x in best if x["other"] != i][:k]
+        return pd.DataFrame(out, columns=["id", "other", "c"])
+
+    keys = ["dim", "block", "part"]
+    parts = asks.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(brute, "id long, other long, c double")
     w = Window.partitionBy("id").orderBy(F.desc("c"), F.asc("other"))
-    truth = parts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("id", "other")
+    truth = parts.groupBy("id", "other").agg(F.max("c").alias("c")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("id", "other")
     hits = truth.join(found.select("id", "other", F.lit(1).alias("hit")), ["id", "other"], "left")
     return hits.agg(F.count(F.lit(1)).alias("n_expected"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codeweft.llm import neighbours
 from codeweft.llm.registry import LLM
@@ -41,3 +42,12 @@ def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of the lists of every id divisible by 50 against brute force over all vectors."""
     found = materialize(_similar(spark, sf_dir), "found")
     return neighbours.recall(found, table(spark, sf_dir, "symbol_embeddings"), table(spark, sf_dir, "embedding_store"))
+
+
+_RECALL = _SQL.split("    SELECT DISTINCT least")[0] + "    SELECT count(*) AS n_expected, true AS reached FROM t WHERE id % 50 = 0"
+
+
+@LLM.add("p2_recall_reached", _RECALL)
+def p2_recall_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of places in the exact lists of every id divisible by 50, and whether 0.9 of them were found."""
+    return p2_recall(spark, sf_dir).select("n_expected", (F.col("recall") >= 0.9).alias("reached"))

@@ -45,3 +45,23 @@ def test_shards_are_merged(spark):
     v, s = tables(spark, rows)
     got = recall(similar(v, s, shard_rows=64), v, s, one_in=5).collect()[0]
     assert got["n_expected"] == 400 and got["recall"] >= 0.97
+
+
+def test_all_vectors_of_a_symbol_take_part(spark):
+    rows = [(1, 0, [1.0, 0.0, 0.0]), (1, 1, [0.0, 1.0, 0.0]), (2, 0, [1.0, 0.1, 0.0]), (3, 0, [0.0, 1.0, 0.1]), (4, 0, [0.0, 0.0, 1.0])]
+    v, s = tables(spark, [(*r, "x", 1) for r in rows])
+    got = {}
+    for r in similar(v, s, k=2).collect():
+        got.setdefault(r.id, {})[r.other] = r.cosine
+    assert set(got[1]) == {2, 3} and all(len(x) == 2 for x in got.values())
+    assert {(r.id_a, r.id_b) for r in within(similar(v, s, k=2), 0.99).collect()} == {(1, 2), (1, 3)}
+    assert recall(similar(v, s, k=2), v, s, k=2, one_in=1).collect()[0]["recall"] == 1.0
+
+
+def test_cells_keep_the_recall(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 3))
+    x = np.repeat(centres, 40, axis=0) + 0.1 * rng.normal(size=(2400, 3))
+    v, s = tables(spark, [(int(i), 0, [float(y) for y in r], "x", 1) for i, r in enumerate(x)])
+    got = recall(similar(v, s, shard_rows=100, probes=4), v, s, one_in=5).collect()[0]
+    assert got["n_expected"] == 2400 and got["recall"] >= 0.95
