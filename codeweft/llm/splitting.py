@@ -132,11 +132,12 @@ def split_text(body: str, limit_tokens: int = LIMIT_TOKENS, overlap_lines: int =
         if right[i] < n:
             left[right[i]] = a
     out = []
-    i = 0
+    i = seen = line = 0  # ``line``: line breaks before ``seen``, carried from piece to piece
     while i < n:
-        first = data.count(b"\n", 0, shared[i])
-        last = first + data.count(b"\n", shared[i], max(shared[i], end_of[i] - 1))
-        out.append((shared[i], starts[i], end_of[i], first, last))
+        line += data.count(b"\n", seen, shared[i]) if shared[i] >= seen else -data.count(b"\n", shared[i], seen)
+        seen = shared[i]
+        last = line + data.count(b"\n", seen, max(seen, end_of[i] - 1))
+        out.append((seen, starts[i], end_of[i], line, last))
         i = right[i]
     return out
 
