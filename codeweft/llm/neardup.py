@@ -34,6 +34,8 @@ LEAST_WORDS = 40
 MATCHES = 10
 #: A shingle is frequent from this share of the texts on. There are at most (mean set size / FREQUENT) such shingles.
 FREQUENT = 1 / 10_000
+#: A frequent shingle in this many texts is dealt into parts of about so many, MOST_SALTS at most.
+SALT_TEXTS, MOST_SALTS = 4096, 64
 
 _WORD = re.compile(rb"[A-Za-z0-9_]+")
 _MASK = np.uint64((1 << 48) - 1)
@@ -86,8 +88,8 @@ def _sets(df: DataFrame, size: int, least_words: int) -> DataFrame:
     return df.mapInPandas(run, "node long, n int, grams array<long>")
 
 
-def _frequent(sets: DataFrame, share: float) -> np.ndarray:
-    """Shingles that may be in ``share`` of the texts or more, the most frequent last.
+def _frequent(sets: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that may be in ``share`` of the texts or more, the most frequent last, and how many texts they are in.
 
     A shingle with that share overall has it in some task. So each task names those that reach half the share of its own
     texts (at most 2 x mean size / share of them), and only these travel. Counted over all texts; the result orders shingles, it
@@ -114,24 +116,26 @@ def _frequent(sets: DataFrame, share: float) -> np.ndarray:
 
     found = sets.select("grams").mapInPandas(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
     least = max(2.0, share * sets.count())
-    rows = found.where(F.col("c") >= least).orderBy("c", "gram").select("gram").toPandas()
-    return rows["gram"].to_numpy(np.int64)
+    rows = found.where(F.col("c") >= least).orderBy("c", "gram").select("gram", "c").toPandas()
+    return rows["gram"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
 
 
-def _heads(sets: DataFrame, frequent: np.ndarray, threshold: float, matches: int) -> DataFrame:
-    """``gram``, ``node``, ``n``, ``group``, ``h``: the head of every set, one row per shingle."""
-    order = np.argsort(frequent)
-    by_value, rank = frequent[order], order
-    shared = sets.sparkSession.sparkContext.broadcast((by_value, rank))
+def _heads(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: float, matches: int) -> DataFrame:
+    """``gram``, ``node``, ``n``, ``group``, ``salt``, ``salts``: the head of every set, one row per shingle. A shingle that
+    may be in a third of the texts gets a ``salt`` of 1..``salts`` by the text; both are 0 for all but such shingles."""
+    order = np.argsort(frequent[0])
+    parts = np.minimum(frequent[1] // SALT_TEXTS, MOST_SALTS).astype(np.int8)
+    shared = sets.sparkSession.sparkContext.broadcast((frequent[0][order], order, parts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        values, ranks = shared.value
+        values, ranks, parts = shared.value
         for pdf in batches:
-            out, sizes = [], []
+            out, sizes, dealt = [], [], []
             groups = []
             for n, g in zip(pdf["n"].to_numpy(), pdf["grams"]):
                 g = np.asarray(g, np.int64)
                 length = min(n, n - math.ceil(threshold * n - 1e-9) + matches)
+                salts = np.zeros(length, np.int8)
                 if len(values):
                     at = np.searchsorted(values, g)
                     at[at == len(values)] = 0
@@ -139,19 +143,24 @@ def _heads(sets: DataFrame, frequent: np.ndarray, threshold: float, matches: int
                     if often.any():
                         rare = g[~often]
                         if len(rare) < length:
-                            o = g[often]
-                            rare = np.concatenate([rare, o[np.argsort(ranks[at[often]], kind="stable")]])
+                            r = ranks[at[often]]
+                            last = np.argsort(r, kind="stable")[: length - len(rare)]
+                            salts[len(rare) :] = parts[r[last]]
+                            rare = np.concatenate([rare, g[often][last]])
                         g = rare
                 head = g[:length]
+                dealt.append(salts)
                 out.append(head)
                 sizes.append(len(head))
                 groups.append(head[0])
             if not out:
                 continue
             rep = np.array(sizes)
-            yield pd.DataFrame({"gram": np.concatenate(out), "node": np.repeat(pdf["node"].to_numpy(np.int64), rep), "n": np.repeat(pdf["n"].to_numpy(np.int32), rep), "group": np.repeat(np.array(groups, np.int64), rep)})
+            nodes, salts = np.repeat(pdf["node"].to_numpy(np.int64), rep), np.concatenate(dealt)
+            salt = np.where(salts > 0, 1 + nodes % np.maximum(salts, 1), 0).astype(np.int8)
+            yield pd.DataFrame({"gram": np.concatenate(out), "node": nodes, "n": np.repeat(pdf["n"].to_numpy(np.int32), rep), "group": np.repeat(np.array(groups, np.int64), rep), "salt": salt, "salts": salts})
 
-    return sets.select("node", "n", "grams").mapInPandas(run, "gram long, node long, n int, group long")
+    return sets.select("node", "n", "grams").mapInPandas(run, "gram long, node long, n int, group long, salt int, salts int")
 
 
 def fold(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -180,15 +189,18 @@ def class_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = materialize_bucketed(_sets(texts, size, least_words), "sets", "node", parts)
     frequent = _frequent(sets, FREQUENT)
-    heads = _heads(spread(sets), frequent, threshold, matches).repartition(parts, "gram")
-    # shingles of one text only cannot match; counted in place, after the one exchange
-    rows = heads.withColumn("__c", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("__c > 1").drop("__c")
+    heads = _heads(spread(sets), frequent, threshold, matches).repartition(parts, "gram", "salt")
+    # shingles of one text only cannot match; counted in place, after the one exchange. Frequent ones are in several texts by
+    # definition, so salted parts need no count, and what meets in a window is in few texts
+    rows = heads.withColumn("__c", F.count(F.lit(1)).over(Window.partitionBy("gram", "salt"))).where("salt > 0 OR __c > 1").drop("__c")
     rows = materialize(rows, "heads")
-    matrix = rows.groupBy("gram", "group").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).select("gram", F.col("group").alias("open"), "lo", "hi")
+    matrix = rows.groupBy("gram", "group").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("salts").alias("salts"))
+    salts = F.when(F.col("salts") > 0, F.sequence(F.lit(1), F.col("salts"))).otherwise(F.array(F.lit(0)))
+    matrix = matrix.select("gram", F.col("group").alias("open"), "lo", "hi", F.explode(salts).alias("salt"))
     # the larger text of a pair asks; the smaller one needs at least threshold times its size
-    q = rows.select("gram", "node", "n")
+    q = rows.select("gram", "salt", "node", "n")
     t = F.lit(threshold)
-    bound = q.join(matrix, "gram").where((F.col("lo") <= F.col("n")) & (F.col("hi") >= t * F.col("n") - F.lit(1e-9)))
+    bound = q.join(matrix, ["gram", "salt"]).where((F.col("lo") <= F.col("n")) & (F.col("hi") >= t * F.col("n") - F.lit(1e-9)))
     opened = bound.groupBy("node", "n", "open").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= F.least(F.lit(matches), F.ceil(t * F.col("n")))).select("node", "n", "open")
     inside = rows.select(F.col("group").alias("open"), F.col("node").alias("other"), F.col("n").alias("m")).distinct()
     pairs = opened.join(inside, "open").where((F.col("m") >= t * F.col("n") - F.lit(1e-9)) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("node")))))

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from codeweft.llm import neardup
 from codeweft.llm.neardup import class_pairs, groups, id_pairs, shingles
 
 
@@ -67,3 +68,15 @@ def test_empty(spark):
 def test_words_are_ascii():
     assert shingles("x " * 39) is None and len(shingles("x " * 40)) == 1
     assert (shingles("Ab c_1 é " * 20) == shingles("ab C_1 ß " * 20)).all()
+
+
+def test_frequent_shingles_are_dealt_out(spark, monkeypatch):
+    """The pairs are the same when frequent shingles are salted."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(400)}" for _ in range(60)]
+    texts = [" ".join(base[: 60 - i % 9] + [f"x{i % 5}", f"y{i % 3}"]) for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, body string")
+    pairs = lambda: {(r.id_a, r.id_b, round(r.jaccard, 9)) for r in neardup.id_pairs(*neardup.class_pairs(df, "id", "body")).collect()}
+    plain = pairs()
+    monkeypatch.setattr(neardup, "SALT_TEXTS", 2)
+    assert pairs() == plain and len(plain) > 100
