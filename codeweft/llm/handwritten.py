@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from codeweft.llm.tokens import spread
 
 KINDS = ("generated", "minified", "vendored", "data")
-FIT_FILES = 4000
+FIT_FILES = 5000
 HASHED = 1 << 12
-PATH_HASHED = 1 << 11
+PATH_HASHED = 1 << 12
 COMMENT_HASHED = 1 << 11
 GRAM = 4
 COMMENT_GRAM = 5
@@ -97,7 +97,6 @@ def path_parts(path: str) -> list[str]:
     """Components of a path below its repository, with their depth from the end for folders, and parts of the name."""
     parts = path.split("/")[1:] or [path]
     out = [f"d:{p}" for p in parts[:-1]]
-    out += [f"dd:{a}/{b}" for a, b in zip(parts[:-1], parts[1:-1])]
     out += ["v:versioned"] * any(_VERSIONED.match(p + "/") for p in parts[:-1])
     out += [f"t:{parts[0]}"] if len(parts) > 1 else []
     name = parts[-1]
@@ -326,23 +325,25 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, cut: int, epochs: int =
 
 def fit(files: pd.DataFrame) -> tuple[Model, dict[str, tuple[int, int, int]]]:
     """(model, {kind: (validation files of the kind, found, found in all)}) from one row per file: ``path``,
-    the label's traits, ``copied``, ``sized``, ``grams`` and ``comments`` (hashed counts). The masked row of a file has
-    neither leading comments nor a path."""
+    the label's traits, ``copied``, ``sized``, ``at`` and ``counts`` (hashed counts, see :func:`unpacked`). The masked row of
+    a file has neither leading comments nor a path."""
     cases = [clear_case(p, t) for p, t in zip(files["path"], files[list(TRAITS)].to_dict("records"))]
     use = [i for i, c in enumerate(cases) if c is not None]
     n, cut = len(use), HASHED + 3
     x = np.zeros((n, cut + COMMENT_HASHED + PATH_HASHED), np.float32)
     for r, i in enumerate(use):
-        x[r, :HASHED] = files["grams"].iloc[i]
-        x[r, cut : cut + COMMENT_HASHED] = files["comments"].iloc[i]
+        v = unpacked(files["at"].iloc[i], files["counts"].iloc[i])
+        x[r, :HASHED], x[r, cut : cut + COMMENT_HASHED] = v[:HASHED], v[HASHED:]
         for part in path_parts(files["path"].iloc[i]):
             x[r, cut + COMMENT_HASHED + _hash(part, PATH_HASHED)] += PATH_SCALE
         x[r, HASHED : cut] = _shares(*(float(files[k].iloc[i]) for k in ("stub", "rows", "copied", "sized"))) + (1.0,)
     g = x[:, :HASHED]
     g /= np.maximum(g.sum(axis=1, keepdims=True), 1)
-    scale = 1.0 / (g.std(axis=0) + 2e-4) if n else np.ones(HASHED, np.float32)
+    scale = np.ones(HASHED, np.float32)
     if n:
-        scale *= BODY_SCALE / max(1e-9, float(np.sqrt(((g * scale) ** 2).sum(axis=1).mean())))
+        for a in range(0, HASHED, 512):  # in parts, so that no second matrix is needed
+            scale[a : a + 512] = 1.0 / (g[:, a : a + 512].std(axis=0) + 2e-4)
+        scale *= BODY_SCALE / max(1e-9, float(np.sqrt(np.mean([((row * scale) ** 2).sum() for row in g]))))
     g *= scale
     x[:, cut : cut + COMMENT_HASHED] *= COMMENT_SCALE
     kind = np.array([cases[i] for i in use], dtype=object)
@@ -437,14 +438,15 @@ def _counted(rows: DataFrame) -> DataFrame:
                 _add(sums, path, t, v)
         yield pd.DataFrame([packed(p, part, t, v) for p, (t, v) in sums.items()], columns=[c.split()[0] for c in schema.split(", ")])
 
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, list[np.ndarray]] = {}
-        for r in pdf.to_dict("records"):
-            _add(sums, r["path"], np.array([r[k] for k in _LABEL]), unpacked(r["at"], r["counts"]))
-        return pd.DataFrame([packed(p, 0, t, v) for p, (t, v) in sums.items()], columns=[c.split()[0] for c in schema.split(", ")])
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                _add(sums, r["path"], np.array([r[k] for k in _LABEL]), unpacked(r["at"], r["counts"]))
+        yield pd.DataFrame([packed(p, 0, t, v) for p, (t, v) in sums.items()], columns=[c.split()[0] for c in schema.split(", ")])
 
     once = rows.mapInPandas(count, schema)
-    return once.groupBy("path", "part").applyInPandas(add, schema).groupBy("path").applyInPandas(add, schema).drop("part")
+    return once.repartition("path", "part").mapInPandas(add, schema).repartition("path").mapInPandas(add, schema).drop("part")
 
 
 def _add(sums: dict[str, list[np.ndarray]], path: str, t: np.ndarray, v: np.ndarray) -> None:
@@ -471,8 +473,6 @@ def fit_on(symbols: DataFrame, fit_files: int = FIT_FILES) -> tuple[Model, dict[
     some = rows.join(F.broadcast(paths), "path", "left_semi")  # at most fit_files paths
     copied = _copied(rows).join(F.broadcast(paths), "path", "left_semi")
     files = _counted(spread(some)).join(copied, "path", "left").na.fill(0.0, ["copied", "sized"]).orderBy("path").toPandas()
-    counts = [unpacked(a, c) for a, c in zip(files["at"], files["counts"])]
-    files = files.drop(columns=["at", "counts"]).assign(grams=[v[:HASHED] for v in counts], comments=[v[HASHED:] for v in counts])
     return fit(files)
 
 
