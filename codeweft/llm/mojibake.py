@@ -4,12 +4,17 @@ A text is cut into segments (sentences and lines), because often only part of it
 look out of place are the start of a best-first search: the state is a string, the moves are "encode with X, decode with
 Y" and the unescaping of entities and escapes, visited strings are kept in a hash set, and the priority is a plausibility
 cost of the characters in their context plus a price per move. The cheapest reachable string replaces the segment if it
-is clearly better than what was there.
+is clearly better than what was there. The search has no limit of states or depth: runs of UTF-8 and escapes get shorter
+with every move, two other decodings never follow one another (together they are one), so there are finitely many
+strings; and a state is opened only while its price leaves room for a cheaper string behind it.
 
 The cost knows no dictionary. It looks at what stands next to what: symbols inside words, capitals after small letters,
 rows of accented letters, C1 controls, U+FFFD, punctuation in places where it does not belong, mixed scripts. Rare but
 rightly decoded characters are cheap in their natural places.
 
+What letters stand side by side in the language of a text is learnt from the corpus: pairs of characters are counted over
+all documents, and pairs that hardly any document has make a string dearer. Garbled documents are few, so their pairs are.
+
 A garbled sequence that stands alone between quotes or backticks is a quotation and does not count.
 """
 
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import html
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -25,14 +31,16 @@ from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from codeweft.llm.tokens import spread
 
 MOVE_PRICE = 0.4
-MAX_STATES = 400
 #: Least cost at which a segment is looked into, and the least gain of a repair.
 SUSPICIOUS = 1.9
 LEAST_GAIN = 1.5
+#: Cost of a character that was lost (U+FFFD).
+LOST_COST = 5.0
 
 _WESTERN = set("äöüßéèêëàâçîïôûùœæñáíóúãõòìÿ")
 _CENTRAL = set("ąćęłńóśźżčšžřěůýďťňőűăâîșțşţđ")
@@ -76,7 +84,10 @@ def _kind(c: str) -> str:
         return "g"
     if 0xFF61 <= o < 0xFFA0:
         return "k"
-    if unicodedata.category(c)[0] in "LM":
+    category = unicodedata.category(c)
+    if category in ("Cn", "Co"):
+        return "x"
+    if category[0] in "LM":
         return "j"
     if 0x3000 <= o < 0x3040 or 0xFF00 <= o < 0xFF61:
         return "j"
@@ -98,7 +109,7 @@ def cost(text: str) -> float:
         before = _kind(text[i - 1]) if i else " "
         after = _kind(text[i + 1]) if i + 1 < n else " "
         if k == "f":
-            total += 5.0
+            total += LOST_COST
         elif k == "x":
             total += 4.0
         elif k == "l":
@@ -142,7 +153,7 @@ def cost(text: str) -> float:
                 total += 2.0
         elif k in "cC":
             total += 0.01
-            if k == "C" and before in "cq":
+            if k == "C" and before in "cqal":
                 total += 3.0
             if before in "alsLAk" or after in "alLsAk" or after in "xbf":
                 total += 1.5
@@ -237,6 +248,9 @@ READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "iso885
 WRITTEN_IN = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "cp852")
 MULTI = ("euc_jp", "cp932", "gb18030")
 _TABLES = {n: _sloppy(n) for n in SINGLE}
+#: Characters that an encoding has besides ASCII, and what they become when their bytes are read as another's.
+_CHARS = {n: frozenset(c for c in _TABLES[n][1] if ord(c) > 127) for n in READ_AS}
+_EXCHANGE = {(n, m): {ord(c): _TABLES[m][0][_TABLES[n][1][c]] for c in _CHARS[n]} for n in READ_AS for m in WRITTEN_IN if n != m}
 _RUN = re.compile(r"[^\x00-\x7f]+")
 #: CJK characters, and those that touch a Latin letter: where these are many, the reading is wrong.
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
@@ -246,43 +260,49 @@ _ESCAPE = re.compile(r"(?:\\u00[0-9a-fA-F]{2}|\\x[89a-fA-F][0-9a-fA-F]|\\u20[0-9
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}){2,}")
 
 
-def _utf8_runs(text: str, back: dict[str, int]) -> str | None:
-    """Each run of non-ASCII characters that can be read as UTF-8 through this table, so read. Bytes that were lost leave
-    U+FFFD, if most of the run makes sense. None if nothing changed."""
-    changed = False
+_LONGER = re.compile(r"[^\x00-\x7f]{2,}")  # UTF-8 has no shorter runs
 
-    def one(m: re.Match) -> str:
-        nonlocal changed
-        run = m.group()
-        try:
-            raw = bytes(back[c] for c in run)
-        except KeyError:
-            return run
-        try:
-            out = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            out = raw.decode("utf-8", "replace")
-            if out.count("\ufffd") * 2 > len(out):
-                return run
-        changed = True
-        return out
 
-    out = _RUN.sub(one, text)
-    return out if changed and out != text else None
+@lru_cache(maxsize=200_000)
+def _utf8_run(run: str, name: str) -> str:
+    """A run of non-ASCII characters read as UTF-8 through this encoding, or as it is. Bytes that were lost leave U+FFFD, if
+    most of the run makes sense."""
+    back = _TABLES[name][1]
+    try:
+        raw = bytes([back[c] for c in run])
+    except KeyError:
+        return run
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        out = raw.decode("utf-8", "replace")
+        return run if out.count("\ufffd") * 2 > len(out) else out
+
 
+def _utf8_runs(text: str, name: str) -> str | None:
+    """The text with each run so read; None if nothing changed."""
+    out = _LONGER.sub(lambda m: _utf8_run(m.group(), name), text)
+    return out if out != text else None
 
-#: A lead byte whose continuation bytes were lost or became blanks: pairs like "Ã " (U+00E0) are joined first.
+
+#: A lead byte whose continuation byte became a blank: pairs like "Ã " (U+00E0) are joined first. The byte 9D has no
+#: character in the usual Western encoding and got lost: "â€" before the end of a word was a closing quotation mark.
 _NBSP_LOST = re.compile(r"([ÃÂ]) (?=[^\x00-\x7f]|[a-zA-Z,.;:)\s]|$)")
+_QUOTE_LOST = re.compile(r"â€(?=[\s.,;:!?)\]]|$)")
 
 
-def moves(text: str) -> Iterator[tuple[str, str]]:
-    """(name of the move, resulting text) for every applicable move."""
-    for name in READ_AS:
-        out = _utf8_runs(text, _TABLES[name][1])
+def moves(text: str, exchange: bool = True) -> Iterator[tuple[str, str]]:
+    """(name of the move, resulting text) for every applicable move; without ``exchange`` only those that shorten runs and
+    escapes."""
+    runs = _RUN.findall(text)
+    chars = set("".join(runs))
+    for name in READ_AS if any(len(r) > 1 for r in runs) else ():
+        out = _utf8_runs(text, name)
         if out is not None:
             yield f"{name}>utf-8", out
-    if _NBSP_LOST.search(text):
-        out = _utf8_runs(_NBSP_LOST.sub("\\1\xa0", text), _TABLES["cp1252"][1])
+    filled = _QUOTE_LOST.sub("â€\x9d", _NBSP_LOST.sub("\\1\xa0", text))
+    if filled != text:
+        out = _utf8_runs(filled, "cp1252")
         if out is not None:
             yield "cp1252>utf-8", out
     if _ENTITY.search(text):
@@ -297,13 +317,12 @@ def moves(text: str) -> Iterator[tuple[str, str]]:
         out = _PERCENT.sub(lambda m: unquote_to_bytes(m.group()).decode("utf-8", "replace"), text)
         if out != text and "\ufffd" not in out:
             yield "percent", out
-    if not _RUN.search(text):
+    if not exchange or not runs:
         return
     for name in ("latin-1", "cp1252"):
-        try:
-            raw = bytes(_TABLES[name][1][c] if ord(c) > 127 else ord(c) for c in text)
-        except KeyError:
+        if not _CHARS[name].issuperset(chars):
             continue
+        raw = bytes(_TABLES[name][1][c] if ord(c) > 127 else ord(c) for c in text)
         for multi in MULTI:
             try:
                 out = raw.decode(multi)
@@ -317,63 +336,91 @@ def moves(text: str) -> Iterator[tuple[str, str]]:
             if out != text and len(_MIXED_CJK.findall(out)) * 5 <= len(_CJK.findall(out)):
                 yield f"{name}>{multi}", out
     for name in READ_AS:
-        back = _TABLES[name][1]
-        if all(c in back for c in text if ord(c) > 127):
+        if _CHARS[name].issuperset(chars):
             for target in WRITTEN_IN:
                 if target != name:
-                    forward = _TABLES[target][0]
-                    out = "".join(c if ord(c) < 128 else forward[back[c]] for c in text)
+                    out = text.translate(_EXCHANGE[name, target])
                     if out != text:
                         yield f"{name}>{target}", out
 
 
-def repair_segment(text: str) -> tuple[str, tuple[str, ...], float]:
-    """Best-first search from ``text``: (cheapest text, the moves to it, gain). No moves if nothing is clearly better."""
+_UNESCAPE = frozenset(("entities", "escapes", "percent"))
+
+
+def _exchanged(name: str) -> bool:
+    """Whether a move exchanges one reading of the bytes for another of about the same length."""
+    return ">" in name and not name.endswith(">utf-8")
+
+
+#: Characters whose pairs are learnt: letters of the alphabetic scripts and common signs. At most so many squared pairs.
+_LEARNT = "\\x20-\\x7E\\u00A0-\\u052F\\u2010-\\u203A\\u20AC\\u2122"
+_LEARNT_PAIR = re.compile(f"(?=([\u0080-\u052f\u2010-\u203a\u20ac\u2122][{_LEARNT}]|[{_LEARNT}][\u0080-\u052f\u2010-\u203a\u20ac\u2122]))")
+PAIR_WEIGHT = 0.25
+
+
+class Pairs:
+    """How unusual pairs of characters are: 0 for those in about ``n ** 0.4`` of ``n`` documents or more, PAIR_WEIGHT
+    more with every power of ten below that. Without documents all pairs are alike."""
+
+    def __init__(self, documents: dict[str, int] | None = None, n: int = 0) -> None:
+        self.most = PAIR_WEIGHT * 0.4 * math.log10(n + 1) if documents else 0.0
+        self.dear = {p: max(0.0, self.most - PAIR_WEIGHT * math.log10(c + 1)) for p, c in (documents or {}).items()}
+
+    def cost(self, text: str) -> float:
+        return sum(self.dear.get(p, self.most) for p in _LEARNT_PAIR.findall(text)) if self.most else 0.0
+
+
+NO_PAIRS = Pairs()
+
+
+def learn_pairs(df: DataFrame, text: str) -> Pairs:
+    """Counts of documents by pair of neighbouring characters, over all rows; the driver gets one number per pair of an
+    alphabet of fixed size."""
+    pair = f"(?=([\\u0080-\\u052F\\u2010-\\u203A\\u20AC\\u2122][{_LEARNT}]|[{_LEARNT}][\\u0080-\\u052F\\u2010-\\u203A\\u20AC\\u2122]))"
+    rows = df.select(F.col(text).cast("string").alias("t")).where(F.col("t").rlike(r"[^\x00-\x7F]"))
+    each = rows.select(F.array_distinct(F.regexp_extract_all("t", F.lit(pair), F.lit(1))).alias("p"))
+    counts = each.select(F.explode(F.array_append("p", F.lit(""))).alias("p")).groupBy("p").count()
+    found = {r.p: r["count"] for r in counts.collect()}
+    n = found.pop("", 0)
+    return Pairs(found, n)
+
+
+def repair_segment(text: str, pairs: Pairs = NO_PAIRS) -> tuple[str, tuple[str, ...], float]:
+    """Best-first search from ``text``: (cheapest text, the moves to it, gain). No moves if nothing is clearly better.
+
+    ``lost`` among the moves says that the cheapest text that can be reached still has U+FFFD in it.
+    """
     start = cost(text)
     escaped = bool(_ENTITY.search(text) or _ESCAPE.search(text) or _PERCENT.search(text))
     if start < SUSPICIOUS and not escaped:
         return text, (), 0.0
-    best, best_value, best_cost, best_path = text, start, start, ()
+    best, best_path, best_value, gain = text, (), math.inf, 0.0
     seen = {text}
-    heap: list[tuple[float, int, str, tuple[str, ...]]] = [(start, 0, text, ())]
-    serial = tried = 0
-    while heap and tried < MAX_STATES:
-        value, _, state, path = heapq.heappop(heap)
-        if path and (best_path or not escaped) and value > best_value + 2.0:
-            break  # nothing cheaper is likely behind this
-        if len(path) >= 4:
-            continue
-        for name, out in moves(state):
+    # (priority, number, string, moves, cost and value of what the string is compared with: the text without its escapes)
+    heap: list[tuple[float, int, str, tuple[str, ...], float, float]] = [(start, 0, text, (), start, start + pairs.cost(text))]
+    serial = 0
+    while heap:
+        _, _, state, path, base, base_value = heapq.heappop(heap)
+        # a string behind this one costs at least the moves to it, and U+FFFD does not go away again
+        if MOVE_PRICE * (len(path) + 1) + LOST_COST * state.count("\ufffd") >= min(best_value, base_value):
+            if not escaped or any(">" in p for p in path):
+                continue
+        for name, out in moves(state, exchange=not path or not _exchanged(path[-1])):
             if out in seen:
                 continue
             seen.add(out)
-            tried += 1
             c = cost(out)
-            v = c + MOVE_PRICE * (len(path) + 1)
+            v = c + pairs.cost(out) + MOVE_PRICE * (len(path) + 1)
             serial += 1
-            if name in ("entities", "escapes", "percent"):
-                heapq.heappush(heap, (v - 1.5, serial, out, (*path, name)))
-                if path and v < best_value:
-                    best, best_value, best_cost, best_path = out, v, c, (*path, name)
+            way = (*path, name)
+            if not any(">" in p for p in way):  # only unescaped so far: what follows is compared with this
+                heapq.heappush(heap, (v - 1.5, serial, out, way, c, v))
                 continue
-            base = start
-            if path and path[-1] in ("entities", "escapes", "percent"):
-                base = cost(state)
-            if v < best_value or (escaped and not best_path and base - c >= LEAST_GAIN and v < base):
-                best, best_value, best_cost, best_path = out, v, c, (*path, name)
-            if ">" in name and (name.endswith("utf-8") or c < start):
-                # a whole run that reads as UTF-8 is hardly chance, so such a state is looked into first
-                heapq.heappush(heap, (0.3 * v if name.endswith("utf-8") else v, serial, out, (*path, name)))
-    read = [p for p in best_path if ">" in p]
-    if not read:
-        return text, (), 0.0
-    base = start
-    if best_path[0] in ("entities", "escapes", "percent"):
-        base = cost(dict(moves(text)).get(best_path[0], text))
-    gain = base - best_cost
-    if gain < LEAST_GAIN or best_cost > 0.6 * base:
-        return text, (), 0.0
-    return best, best_path, gain
+            if v < min(best_value, base_value) and base - c >= LEAST_GAIN and c <= 0.6 * base:
+                best, best_path, best_value, gain = out, way, v, base - c
+            # a whole run that reads as UTF-8 is hardly chance, so such a state is looked into first
+            heapq.heappush(heap, (0.3 * v if name.endswith("utf-8") else v, serial, out, way, base, base_value))
+    return best, (*best_path, "lost") if "\ufffd" in best else best_path, gain
 
 
 _SEGMENT = re.compile(r"[^\n]*?(?:[.!?。！？](?=\s)|\n|$)|[^\n]+", re.S)
@@ -381,10 +428,11 @@ _QUOTED = re.compile(r"(?P<q>[`'\"“‘«])(?:[^\x00-\x7f\s]{1,8}|(?:&[A-Za-z]+
 _WORTH = re.compile(r"[^\x00-\x7f]|&#?\w{2,30};|\\[ux][0-9a-fA-F]{2}|%[0-9A-Fa-f]{2}%[0-9A-Fa-f]{2}")
 
 
-def repair(text: str | None) -> tuple[str | None, list[str]]:
+def repair(text: str | None, pairs: Pairs = NO_PAIRS) -> tuple[str | None, list[str]]:
     """(restored text, distinct moves). A text that is not garbled comes back as it is, without moves.
 
-    ``lost`` among the moves says that characters are gone (U+FFFD) and could not be regained. Null stays null.
+    ``lost`` among the moves says that characters are gone (U+FFFD) and could not be regained: it is what the search comes
+    to where every text within reach still has them. Null stays null.
     """
     if not text or not _WORTH.search(text):
         return text, []
@@ -405,7 +453,7 @@ def repair(text: str | None) -> tuple[str | None, list[str]]:
         if _WORTH.search(seg):
             got = known.get(seg)
             if got is None:
-                got = known[seg] = repair_segment(seg)
+                got = known[seg] = repair_segment(seg, pairs)
             for p in got[1]:
                 used[p] = True
             out.append(got[0])
@@ -414,18 +462,17 @@ def repair(text: str | None) -> tuple[str | None, list[str]]:
     fixed = "".join(out)
     if hidden:
         fixed = re.sub("\x02(\\d+)\x03", lambda m: hidden[int(m.group(1))] if int(m.group(1)) < len(hidden) else m.group(), fixed)
-    if "\ufffd" in shown:
-        used["lost"] = True
     return fixed, list(used)
 
 
-def repair_column(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``restored`` and ``moves`` of every row whose text is garbled.
+def repair_column(df: DataFrame, key: str, text: str, pairs: Pairs | None = None) -> DataFrame:
+    """``key``, ``restored`` and ``moves`` of every row whose text is garbled. ``pairs`` are learnt from the rows if not given.
 
     Null, empty and rightly decoded texts give no row. Repeated rows give repeated rows. Texts are read whole, however
     long; other columns are ignored.
     """
     kind = df.schema[key].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(learn_pairs(df, text) if pairs is None else pairs)
     # nothing but these can begin a repair; the test runs in the JVM
     slim = df.select(df[key].alias("key"), df[text].alias("text"))
     slim = spread(slim).where(slim["text"].rlike(r"[^\x00-\x7F]|&#?\w{2,30};|\\[ux][0-9a-fA-F]{2}|%[0-9A-Fa-f]{2}%[0-9A-Fa-f]{2}"))
@@ -434,7 +481,7 @@ def repair_column(df: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             keys, texts, used = [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                fixed, how = repair(t)
+                fixed, how = repair(t, shared.value)
                 if how:
                     keys.append(k)
                     texts.append(fixed)

@@ -1,6 +1,6 @@
 import pytest
 
-from codeweft.llm.mojibake import repair, repair_column
+from codeweft.llm.mojibake import Pairs, learn_pairs, repair, repair_column
 
 RIGHT = [
     "São 4264 entradas. ATENÇÃO: NÃO APAGUE A POSIÇÃO ANTES DA VERSÃO.",
@@ -59,3 +59,28 @@ def test_operator(spark):
     out = repair_column(df, "doc_id", "text").collect()
     assert sorted(r.doc_id for r in out) == [3, 3, 5]
     assert repair_column(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_lost_bytes_and_exchanged_readings():
+    assert repair("the “upper tableâ€ case — sized at 6 Âµs.")[0] == "the “upper table” case — sized at 6 µs."
+    text = "После изменения проверка занимает больше времени, чем раньше."
+    learnt = Pairs({a + b: 500 for a, b in zip(text, text[1:])}, 1000)
+    for wrote, read in (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "cp866")):
+        assert repair(text.encode(wrote).decode(read), learnt)[0] == text
+    three = "für ältere Größe"
+    for _ in range(3):
+        three = three.encode().decode("latin-1")
+    assert repair(three)[0] == "für ältere Größe"
+
+
+def test_long_garbled_line_ends():
+    """The search ends by itself, also where nothing can be regained."""
+    assert repair("Ð\x9d�‘Æ’ " * 200)[1][-1] == "lost"
+    assert repair("".join(chr(0x80 + i % 0x40) for i in range(4000)))[0] is not None
+
+
+def test_pairs_are_learnt(spark):
+    docs = [(i, "für ältere Größe") for i in range(99)] + [(99, "fÃ¼r"), (100, None), (101, "plain")]
+    pairs = learn_pairs(spark.createDataFrame(docs, "doc_id long, text string"), "text")
+    assert pairs.cost("für Größe") == 0 < pairs.cost("fÃ¼r") < pairs.cost("fÅr Grîøe")
+    assert learn_pairs(spark.createDataFrame([], "doc_id long, text string"), "text").cost("fÅr") == 0
