@@ -2,8 +2,9 @@
 
 1. Every document's text is encoded; per source the tokens are laid end to end, documents in the order of a hash of their
    key, and cut into blocks of ``block`` tokens (the last one of a source is shorter). A document thus lies in one or more
-   blocks, a block may hold several documents. Offsets come from a two-level prefix sum over (source, part), so no source
-   is brought into one task.
+   blocks, a block may hold several documents. A source has a part for every PART_TOKENS of its tokens; offsets come from a
+   prefix sum over the parts and a running count inside each, so no source is brought into one task. Blocks are cut from
+   the sorted stream; only pieces at the ends of parts are brought together.
 2. The size of the mixture is the largest at which every source with documents can give its share without using a block
    more than ``max_repeats`` times (or a size that is asked for); sources without documents give nothing. Exact block
    quotas per source follow by largest remainders.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +31,12 @@ from codeweft.plans.materialize import materialize
 from codeweft.sources.tables import canonical_source
 
 BLOCK_TOKENS = 512
+#: Output shards: at least so many, and one for every SHARD_BLOCKS of the mixture.
 SHARDS = 16
+SHARD_BLOCKS = 1 << 20
 SEED = 20_240_501
-#: Parts of a source for the prefix sum.
-PARTS = 256
+#: Tokens of a source that are laid out in one stream.
+PART_TOKENS = 1 << 22
 
 
 def targets_of(mix: DataFrame) -> list[tuple[str, float, int]]:
@@ -46,33 +50,115 @@ def targets_of(mix: DataFrame) -> list[tuple[str, float, int]]:
     return sorted((x.s, x.w / total, max(1, x.r or 1)) for x in rows)
 
 
-def pack(docs: DataFrame, block: int = BLOCK_TOKENS, vocab: str = VOCAB) -> DataFrame:
-    """``source``, ``doc_id``, ``ids``, ``start``: the encoded documents and where they begin in their source's line.
+def encoded(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:
+    """``source``, ``doc_id``, ``ids``, ``n``, ``h`` of the documents, written to the shared folder.
 
-    Documents with an empty or null text or a null source take no part. Repeated keys are laid one after the other.
+    Documents with an empty or null text or a null source take no part.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_source(F.col("source")).alias("source"), F.col("text").cast("string").alias("text")).where("source IS NOT NULL AND source <> '' AND length(text) > 0")
     keyed = known.select(F.struct("source", "doc_id").alias("k"), "text")
     ids = encode_column(keyed, "k", "text", vocab)
-    rows = ids.select(F.col("k.source").alias("source"), F.col("k.doc_id").alias("doc_id"), "ids", F.size("ids").cast("long").alias("n"))
-    rows = materialize(rows.withColumn("h", F.xxhash64("doc_id", "ids")).withColumn("part", F.pmod(F.col("h"), F.lit(PARTS)).cast("int")), "encoded")
+    return materialize(ids.select(F.col("k.source").alias("source"), F.col("k.doc_id").alias("doc_id"), "ids", F.size("ids").cast("long").alias("n"), F.xxhash64("k.doc_id", "ids").alias("h")), "encoded")
+
+
+def totals(rows: DataFrame) -> dict[str, int]:
+    """Tokens by source: one number for every source, of which there are few by nature."""
+    return {r.source: int(r.t) for r in rows.groupBy("source").agg(F.sum("n").alias("t")).collect()}
+
+
+def pack(docs: DataFrame, block: int = BLOCK_TOKENS, vocab: str = VOCAB, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """``source``, ``doc_id``, ``ids``, ``start``: the encoded documents and where they begin in their source's line, each
+    part of a source in order.
+
+    Documents with an empty or null text or a null source take no part. Repeated keys are laid one after the other.
+    """
+    rows = encoded(docs, vocab)
+    return laid(rows, totals(rows), part_tokens)
+
+
+def laid(rows: DataFrame, sizes: dict[str, int], part_tokens: int = PART_TOKENS) -> DataFrame:
+    """:func:`pack` of :func:`encoded` rows whose sources have these sizes."""
+    spark = rows.sparkSession
+    parts = spark.createDataFrame([(s, max(1, -(-t // part_tokens))) for s, t in sorted(sizes.items())] or [("", 1)], "source string, parts long")
+    rows = rows.join(F.broadcast(parts), "source").withColumn("part", F.pmod("h", "parts")).drop("parts")  # one row per source
     sums = rows.groupBy("source", "part").agg(F.sum("n").alias("t"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most PARTS rows each
-    offsets = sums.withColumn("base", F.coalesce(F.sum("t").over(before), F.lit(0))).select("source", "part", "base")
-    inside = Window.partitionBy("source", "part").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    at = rows.select("source", "part", "h", "doc_id", "ids", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("off"))
-    return at.join(offsets, ["source", "part"]).select("source", "doc_id", "ids", (F.col("base") + F.col("off")).alias("start"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # numbers only, one per part
+    base = sums.select("source", "part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    # a part's offset travels as its first row, so the documents move once and nothing is broadcast
+    heads = base.select("source", "part", F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("array<int>").alias("ids"), "base")
+    lines = rows.select("source", "part", "h", "doc_id", "ids", F.lit(None).cast("long").alias("base")).unionByName(heads)
+    lines = lines.repartition("source", "part").sortWithinPartitions("source", "part", F.col("h").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("base").desc_nulls_last())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pos = 0
+        for b in batches:
+            ids, base = b.column("ids"), b.column("base").to_pylist()
+            sizes = np.diff(ids.offsets.to_numpy())
+            start, keep = np.zeros(len(base), np.int64), np.ones(len(base), bool)
+            for i, at in enumerate(base):
+                if at is not None:
+                    pos, keep[i] = at, False
+                else:
+                    start[i] = pos
+                    pos += int(sizes[i])
+            out = pa.RecordBatch.from_arrays([b.column("source"), b.column("doc_id"), ids, pa.array(start)], ["source", "doc_id", "ids", "start"])
+            yield out.filter(pa.array(keep))
+
+    return lines.mapInArrow(run, "source string, doc_id long, ids array<int>, start long")
 
 
 def blocks_of(packed: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
-    """``source``, ``block``, ``doc_ids``, ``ids``: the blocks. A block is bounded, whatever its documents are."""
-    first = F.floor(F.col("start") / block)
-    last = F.floor((F.col("start") + F.size("ids") - 1) / block)
-    cut = packed.select("source", "doc_id", "ids", "start", F.explode(F.sequence(first, last)).alias("block"))
-    lo = F.greatest(F.col("block") * block - F.col("start"), F.lit(0)).cast("int")
-    hi = F.least((F.col("block") + 1) * block - F.col("start"), F.size("ids").cast("long")).cast("int")
-    parts = cut.select("source", "block", F.struct(F.greatest("start", F.col("block") * block).alias("at"), "doc_id", F.slice("ids", lo + 1, hi - lo).alias("ids")).alias("p"))
-    return parts.groupBy("source", "block").agg(F.array_sort(F.collect_list("p")).alias("p")).select("source", F.col("block").cast("long").alias("block"), F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
+    """``source``, ``block``, ``doc_ids``, ``ids``: the blocks. A block is bounded, whatever its documents are.
+
+    Documents that follow one another in the stream are cut together; what is not a whole block then (the ends of parts)
+    is brought together by block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, at, docs, cuts = None, 0, [], []  # the open piece: where it begins, its documents and slices
+        size = 0
+        out: list[tuple] = []
+
+        def close() -> None:
+            nonlocal docs, cuts, size
+            if size:
+                out.append((source, at // block, at, docs, np.concatenate(cuts), size == block))
+            docs, cuts, size = [], [], 0
+
+        def sent() -> pa.RecordBatch:
+            s, n, a, d, i, w = zip(*out)
+            flat = lambda x, t: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([np.asarray(y, t) for y in x]), pa.from_numpy_dtype(t)))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), flat(d, np.int64), flat(i, np.int32), pa.array(w, pa.bool_())], ["source", "block", "at", "doc_ids", "ids", "whole"])
+
+        for b in batches:
+            ids = b.column("ids")
+            offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+            for k, (s, d, start) in enumerate(zip(b.column("source").to_pylist(), b.column("doc_id").to_pylist(), b.column("start").to_pylist())):
+                if s != source or start != at + size:
+                    close()
+                    source, at = s, start
+                lo, hi = int(offsets[k]), int(offsets[k + 1])
+                while lo < hi:
+                    room = block - (at + size) % block
+                    n = min(room, hi - lo)
+                    docs.append(d)
+                    cuts.append(values[lo : lo + n].copy())
+                    size += n
+                    lo += n
+                    if n == room:
+                        close()
+                        at = start + lo - int(offsets[k])
+                    if len(out) >= 1024:
+                        yield sent()
+        close()
+        if out:
+            yield sent()
+
+    cut = materialize(packed.select("source", "doc_id", "ids", "start").mapInArrow(run, "source string, block long, at long, doc_ids array<long>, ids array<int>, whole boolean"), "cut")
+    p = F.array_sort(F.collect_list(F.struct("at", "doc_ids", "ids")))
+    ends = cut.where("NOT whole").groupBy("source", "block").agg(p.alias("p")).select("source", "block", F.flatten(F.col("p.doc_ids")).alias("doc_ids"), F.flatten(F.col("p.ids")).alias("ids"))
+    return cut.where("whole").select("source", "block", "doc_ids", "ids").unionByName(ends)
 
 
 def quotas(targets: list[tuple[str, float, int]], available: dict[str, int], block: int, tokens: int | None = None) -> dict[str, int]:
@@ -121,15 +207,19 @@ def deal(quota: dict[str, int], shards: int, seed: int = SEED) -> dict[tuple[str
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if n <= 0 or good <= 0:
-        return 0
-    if bad <= 0:
-        return min(n, good)
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n))
-    p, total = good / (good + bad), good + bad
-    x = rng.normal(n * p, math.sqrt(max(n * p * (1 - p) * (total - n) / (total - 1), 0)))
-    return int(min(max(round(x), n - bad, 0), good, n))
+    """Of ``n`` draws without replacement from ``good`` and ``bad`` ones, how many are good: one uniform number through the
+    inverse distribution. Chances are followed from the mode outward to where they are below 1e-18 of it."""
+    lo, hi = max(0, n - bad), min(n, good)
+    if n <= 0 or good <= 0 or lo >= hi:
+        return max(0, lo if n > 0 else 0)
+    mode = min(max((n + 1) * (good + 1) // (good + bad + 2), lo), hi)
+    width = 64 + int(10 * math.sqrt(n * (good / (good + bad)) * (bad / (good + bad)) * max(0.0, (good + bad - n) / (good + bad - 1)))) if good + bad > 1 else 64
+    a, b = max(lo, mode - width), min(hi, mode + width)
+    k = np.arange(a, b, dtype=np.float64)  # log of the chance of k + 1 over that of k
+    steps = np.log((good - k) * (n - k)) - np.log((k + 1) * (bad - n + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    chance = np.exp(logs - logs.max())
+    return a + int(min(np.searchsorted(np.cumsum(chance), rng.random() * chance.sum(), "right"), b - a))
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -198,27 +288,27 @@ def slots(spark, quota: dict[str, int], available: dict[str, int], block: int, s
     return frame.repartition(max(1, min(len(pieces), 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, "shard int, slot long, source string, turn int, block long")
 
 
-def mixture(docs: DataFrame, mix: DataFrame, tokens: int | None = None, block: int = BLOCK_TOKENS, shards: int = SHARDS, seed: int = SEED, vocab: str = VOCAB) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, mix: DataFrame, tokens: int | None = None, block: int = BLOCK_TOKENS, shards: int | None = None, seed: int = SEED, vocab: str = VOCAB) -> tuple[DataFrame, DataFrame]:
     """(the mixture, the report of shares).
 
     Mixture: ``shard``, ``slot``, ``source``, ``turn`` (0 for the first use), ``block``, ``doc_ids``, ``ids``. Report: one
     row per source of ``mix``: ``target_share``, ``max_repeats``, ``available_tokens``, ``tokens``, ``share`` (of the
-    mixture), ``most_uses``.
+    mixture), ``most_uses``, ``left_tokens`` (those behind the last full block, which never come).
 
-    Only full blocks enter, so every slot has the same size; the rest of a source (less than a block) stays out. Documents
-    of sources that are not listed stay out. Tables may be empty; extra columns are ignored.
+    Only full blocks enter, so every slot has the same size; the rest of a source (less than a block) stays out.
+    Documents of sources that are not listed stay out. Tables may be empty; extra columns are ignored. ``shards`` is
+    derived from the size of the mixture if it is not given.
     """
     spark = docs.sparkSession
     targets = targets_of(mix)
-    packed = materialize(pack(docs, block, vocab), "packed")
-    sizes = packed.groupBy("source").agg(F.sum(F.size("ids").cast("long")).alias("t"))
-    wanted = spark.createDataFrame(targets or [("", 0.0, 1)], "source string, target_share double, max_repeats int")
-    available = {r.source: int(r.t) for r in sizes.join(F.broadcast(wanted), "source", "left_semi").collect()}  # one row per listed source
+    wanted = spark.createDataFrame([(s,) for s, _, _ in targets] or [("",)], "source string")
+    listed = docs.withColumn("__s", canonical_source(F.col("source"))).join(F.broadcast(wanted.select(F.col("source").alias("__s"))), "__s", "left_semi")  # one row per listed source
+    rows = encoded(listed, vocab)
+    available = totals(rows)
     quota = quotas(targets, available, block, tokens)
-    where = slots(spark, quota, available, block, shards, seed)
-    listed = packed.join(F.broadcast(wanted.select("source")), "source", "left_semi")
-    mixed = where.join(blocks_of(listed, block), ["source", "block"]).select("shard", "slot", "source", "turn", "block", "doc_ids", "ids")
     total = sum(quota.values())
-    lines = [(s, w, r, available.get(s, 0), quota.get(s, 0) * block, quota.get(s, 0) / total if total else 0.0, -(-quota.get(s, 0) // max(1, available.get(s, 0) // block))) for s, w, r in targets]
-    report = spark.createDataFrame(lines, "source string, target_share double, max_repeats int, available_tokens long, tokens long, share double, most_uses int")
+    where = slots(spark, quota, available, block, shards or max(SHARDS, -(-total // SHARD_BLOCKS)), seed)
+    mixed = where.join(blocks_of(laid(rows, available), block), ["source", "block"]).select("shard", "slot", "source", "turn", "block", "doc_ids", "ids")
+    lines = [(s, w, r, available.get(s, 0), quota.get(s, 0) * block, quota.get(s, 0) / total if total else 0.0, -(-quota.get(s, 0) // max(1, available.get(s, 0) // block)), available.get(s, 0) % block) for s, w, r in targets]
+    report = spark.createDataFrame(lines, "source string, target_share double, max_repeats int, available_tokens long, tokens long, share double, most_uses int, left_tokens long")
     return mixed, report

@@ -56,3 +56,30 @@ def test_empty(spark):
     mix = spark.createDataFrame([], "source string, target_share double, max_repeats int")
     mixed, report = mixing.mixture(df, mix)
     assert mixed.count() == 0 and report.count() == 0
+
+
+@pytest.mark.parametrize("good,bad,n", [(7, 5, 4), (3, 0, 2), (0, 9, 3), (40, 60, 100), (1000, 9000, 500), (5, 5, 0)])
+def test_draws_have_the_right_chances(good, bad, n):
+    rng, other = np.random.default_rng(1), np.random.default_rng(2)
+    got = np.array([mixing._draw(rng, good, bad, n) for _ in range(4000)])
+    ref = other.hypergeometric(good, bad, n, 4000) if n and good else np.zeros(4000)
+    assert abs(got.mean() - ref.mean()) < 0.15 + 0.02 * ref.mean() and abs(got.std() - ref.std()) < 0.1 + 0.06 * ref.std()
+    assert got.min() >= max(0, n - bad) and got.max() <= min(n, good)
+
+
+def test_draws_of_very_many():
+    rng = np.random.default_rng(1)
+    got = [mixing._draw(rng, 3 * 10**10, 7 * 10**10, 10**10) for _ in range(20)]
+    assert abs(np.mean(got) / 10**10 - 0.3) < 1e-4 and len(set(got)) > 10
+
+
+def test_parts_make_one_line(spark):
+    """However a source is parted, its blocks are the same tokens in number, and a long document is cut into many."""
+    docs = [(i, "some words of text " * (1 + i % 9), "a") for i in range(60)] + [(99, "very long text, " * 3000, "a"), (7, "some words of text " * 8, "a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    total = sum(len(tokens.codec().encode(t)) for _, t, _ in docs)
+    for part_tokens in (64, 1 << 22):
+        rows = mixing.blocks_of(mixing.pack(df, part_tokens=part_tokens), 32).orderBy("block").collect()
+        assert [r.block for r in rows] == list(range(-(-total // 32)))
+        assert all(len(r.ids) == 32 for r in rows[:-1]) and sum(len(r.ids) for r in rows) == total
+        assert len({d for r in rows for d in r.doc_ids}) == 61
