@@ -6,12 +6,20 @@ score of a symbol is the sum over fields and distinct query words, any word may
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweft.plans.materialize import materialize
+
 K1, B = 1.2, 0.75
 FIELDS = ("name", "signature", "docstring", "body")
 POOL = 50
+#: Symbols and queries of a block; every block of the one meets every block of the other.
+SYMBOL_BLOCK, QUERY_BLOCK = 16_384, 4096
+#: Word frequencies are broadcast up to this many rows, beyond it they are joined.
+MOST_BROADCAST = 1_000_000
 
 
 def terms(text: Column) -> Column:
@@ -34,29 +42,67 @@ def postings(symbols: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return rows.select("field", "id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("field", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def search(symbols: DataFrame, queries: DataFrame, limit: int = POOL, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """R2: ``query_id``, ``id``, ``rank`` (from 1), ``score``: the best symbols of each query; ties by id.
+def weights(symbols: DataFrame, asked: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``id``, ``term``, ``w``: the weight of each asked word (``term``) in each symbol, summed over the fields.
 
-    Only postings of words that are asked for are kept: the words of all queries are joined before anything is counted.
-    Frequent words meet all their symbols, but scores are summed per (query, symbol) before ranking, and the row limit is
-    applied in each task first.
-    """
-    q = query_terms(queries)
-    asked = q.select("term").distinct()
-    toks = [symbols.select("id", F.lit(f).alias("field"), terms(F.col(f)).alias("t")) for f in fields]
-    rows = toks[0]
-    for r in toks[1:]:
-        rows = rows.unionByName(r)
-    rows = rows.where(F.size("t") > 0).select("field", "id", F.size("t").alias("dl"), "t")
-    stats = rows.groupBy("field").agg(F.avg("dl").alias("avgdl"))
+    A symbol's text is split once; words are counted inside the row, so a common word does not gather anywhere."""
+    kept = [c for c in ("id", *fields)]
+    texts = symbols.select(*kept)
+    rows = texts.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("t")) for f in fields])).alias("x")).select("id", "x.field", "x.t").where(F.size("t") > 0)
+    stats = rows.groupBy("field").agg(F.avg(F.size("t")).alias("avgdl"))
     total = symbols.agg(F.count(F.lit(1)).alias("n_docs"))
-    post = rows.select("field", "id", "dl", F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy("field", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tokens = rows.select("field", "id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    n_asked = asked.count()
+    few = F.broadcast(asked) if n_asked <= MOST_BROADCAST else asked
+    post = materialize(tokens.join(few, "term", "left_semi").groupBy("field", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     df = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    df = F.broadcast(df) if n_asked * len(fields) <= MOST_BROADCAST else df
     w = post.join(df, ["field", "term"]).join(F.broadcast(stats), "field").crossJoin(F.broadcast(total))  # one row per field, one in all
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    per_term = w.select("id", "term", weight.alias("w")).groupBy("id", "term").agg(F.sum("w").alias("w"))
-    scored = per_term.join(q, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    return w.select("id", "term", weight.alias("w")).groupBy("id", "term").agg(F.sum("w").alias("w"))
+
+
+def search(symbols: DataFrame, queries: DataFrame, limit: int = POOL, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """R2: ``query_id``, ``id``, ``rank`` (from 1), ``score``: the best symbols of each query; ties by id.
+
+    Only words that are asked for are kept. Then a block of symbols meets a block of queries in one task, adds up the
+    weights of each query's words in an array, and passes on the best of the block; nothing is made per (query, symbol).
+    """
+    q = materialize(query_terms(queries), "asked")
+    w = weights(symbols, q.select("term").distinct(), fields)
+    n_symbols, n_queries = symbols.select("id").count(), queries.select("query_id").count()
+    spark = symbols.sparkSession
+    n_blocks = max(spark.sparkContext.defaultParallelism, -(-n_symbols // SYMBOL_BLOCK))
+    n_asks = max(1, -(-n_queries // QUERY_BLOCK))
+    key = F.xxhash64("term").alias("key")
+    posts = w.select("id", key, "w", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))).alias("b"))
+    asks = q.groupBy("query_id").agg(F.collect_set(F.xxhash64("term")).alias("keys"))
+    asks = asks.select("query_id", "keys", F.pmod(F.xxhash64("query_id"), F.lit(n_asks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("a"))
+    kinds = queries.schema["query_id"].dataType.simpleString(), symbols.schema["id"].dataType.simpleString()
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            ids, at = np.unique(left["id"].to_numpy(), return_inverse=True)
+            order = np.argsort(left["key"].to_numpy(), kind="stable")
+            at, value = at[order], left["w"].to_numpy()[order]
+            keys, starts = np.unique(left["key"].to_numpy()[order], return_index=True)
+            where = dict(zip(keys.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(at)])))
+            for query, words in zip(right["query_id"], right["keys"]):
+                score = np.zeros(len(ids))
+                for a, b in sorted(where[x] for x in words.tolist() if x in where):
+                    score[at[a:b]] += value[a:b]
+                hit = np.flatnonzero(score > 0)
+                if len(hit) > limit:  # equal ones after rounding stay
+                    least = np.partition(score[hit], len(hit) - limit)[len(hit) - limit]
+                    hit = hit[score[hit] >= least - 2e-6]
+                if len(hit):
+                    out.append(pd.DataFrame({"query_id": query, "id": ids[hit], "score": score[hit]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    met = posts.groupBy("a", "b").cogroup(asks.groupBy("a", "b")).applyInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    scored = met.select("query_id", "id", F.round("score", 6).alias("score"))
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= limit).select("query_id", "id", "rank", "score")
 

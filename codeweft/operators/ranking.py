@@ -19,16 +19,27 @@ REVERSE_DEPTH, REVERSE_FAN, REVERSE_MOST, REVERSE_CALLERS = 3, 5, 20, 500
 PIVOTS, ADJACENT, ADJACENT_PER_FILE, PINNED = 8, 20, 2, 5
 
 
+def ranked_by(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def top(df: DataFrame, by: list[str], order: list[Column], limit: int, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= limit)
+    return ranked_by(df, by, order, name).where(F.col(name) <= limit)
 
 
 def graph_candidates(link: DataFrame, seeds: DataFrame, cent: DataFrame, limit: int = GRAPH_POOL) -> DataFrame:
-    """Neighbours in both directions of the seeds (``query_id``, ``id``) that are no seeds, by centrality."""
+    """Neighbours in both directions of the seeds (``query_id``, ``id``) that are no seeds, by centrality.
+
+    Of a node's neighbours only the best ``limit`` and as many as a query has seeds can come out, so the lists of hubs are
+    cut to these before they meet the queries.
+    """
+    most = seeds.select("query_id", "id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     both = link.select(F.col("from_id").alias("id"), F.col("to_id").alias("other")).unionByName(link.select(F.col("to_id").alias("id"), F.col("from_id").alias("other")))
-    near = seeds.select("query_id", "id").distinct().join(both, "id").select("query_id", F.col("other").alias("id")).distinct()
-    near = near.join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti").join(cent.select("id", "centrality"), "id")
-    return top(near, ["query_id"], [F.desc(F.round("centrality", 6)), F.asc("id")], limit).select("query_id", "id", "rank")
+    ranked = both.distinct().join(cent.select(F.col("id").alias("other"), F.round("centrality", 6).alias("centrality")), "other")
+    best = top(ranked, ["id"], [F.desc("centrality"), F.asc("other")], limit + most, "r")
+    near = seeds.select("query_id", "id").distinct().join(best, "id").select("query_id", F.col("other").alias("id"), "centrality").distinct()
+    near = near.join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return top(near, ["query_id"], [F.desc("centrality"), F.asc("id")], limit).select("query_id", "id", "rank")
 
 
 def anchor_candidates(symbols: DataFrame, queries: DataFrame, names_found: DataFrame | None = None, limit: int = ANCHOR_POOL) -> DataFrame:
@@ -54,7 +65,7 @@ def traceback_candidates(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     f = queries.select("query_id", F.posexplode(A.frames(F.col("task"))).alias("pos", "f")).select("query_id", "pos", F.col("f.path").alias("path"), F.element_at(F.split("f.function", r"\."), -1).alias("leaf_name"))
     hit = f.join(symbols.select("id", "leaf_name", "file_path"), "leaf_name").where(F.col("file_path").endswith(F.col("path")))
     first = hit.groupBy("query_id", "id").agg(F.min("pos").alias("pos"))
-    return top(first, ["query_id"], [F.asc("pos"), F.asc("id")], 1_000_000).select("query_id", "id", "rank")
+    return ranked_by(first, ["query_id"], [F.asc("pos"), F.asc("id")]).select("query_id", "id", "rank")
 
 
 def reverse_expand(link: DataFrame, symbols: DataFrame, cent: DataFrame, anchors: DataFrame, queries: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
@@ -83,7 +94,7 @@ def reverse_expand(link: DataFrame, symbols: DataFrame, cent: DataFrame, anchors
         gain = overlap + 2.0 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("sem", F.lit(0.0)))) - 0.1 * F.coalesce("centrality", F.lit(0.0))
         fan = top(step.withColumn("gain", F.round(gain, 6)), ["query_id", "id", "ord"], [F.desc("gain"), F.asc("next")], REVERSE_FAN, "r")
         first = fan.groupBy("query_id", "next").agg(F.min(F.struct("ord", "r")).alias("p"))
-        front = materialize(top(first, ["query_id"], [F.asc("p"), F.asc("next")], 1_000_000, "ord").select("query_id", F.col("next").alias("id"), "ord"), "front")
+        front = materialize(ranked_by(first, ["query_id"], [F.asc("p"), F.asc("next")], "ord").select("query_id", F.col("next").alias("id"), "ord"), "front")
         seen = seen.unionByName(front.select("query_id", "id"))
         level = front.select("query_id", "id", F.lit(depth).alias("depth"), "ord")
         out = level if out is None else out.unionByName(level)

@@ -23,6 +23,7 @@ class Index:
 
     @classmethod
     def build(cls, symbols: DataFrame, nodes: DataFrame, edges: DataFrame) -> Index:
+        symbols = materialize(symbols, "symbols")  # cleaned once, not in every branch
         link = materialize(graph.links(edges, nodes), "link")
         deg = materialize(graph.degrees(link, nodes), "deg")
         return cls(symbols, link, materialize(graph.centrality(deg), "cent"), materialize(graph.family(deg, nodes), "family"))

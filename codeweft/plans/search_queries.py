@@ -50,7 +50,7 @@ _CAND = f"""{_BM25}, hit AS (SELECT * FROM bm WHERE rank <= 50), two AS (SELECT
 
 def _searched(spark, sf_dir):
     n = nodes(spark, sf_dir)
-    s = symbols(spark, sf_dir)
+    s = materialize(symbols(spark, sf_dir), "symbols")
     link = materialize(graph.links(table(spark, sf_dir, "edges"), n), "link")
     cent = materialize(graph.centrality(graph.degrees(link, n)), "cent")
     hits = materialize(bm25.search(s, tasks(spark, sf_dir)), "hits")
