@@ -15,11 +15,13 @@ STOP_WORDS = (
     "object", "module", "package", "import", "input", "output", "field", "fields", "attribute", "attributes", "example", "empty", "print", "self",
 )
 
+# The forms that count as a code block, a call, an import, a frame, an identifier and a chain.
 _CODE = r"```\w*\n([\s\S]*?)```"
 _CALL = r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)\s*\("
 _FROM = r"(?:^|[\s:;`])from\s+([A-Za-z_][\w.]*)\s+import\s+([A-Za-z_][\w]*(?:\s*,\s*[A-Za-z_]\w*)*)"
 _IMPORT = r"(?:^|[\n:;`])[ \t]*import\s+([A-Za-z_][\w.]*)"
 _FRAME = r'File "([^"]+)", line \d+, in ([A-Za-z_<][\w.<>]*)'
+_LINE_FRAME = r'(?m)^\s*File\s+"([^"]+)",\s*line\s+\d+,\s*in\s+([A-Za-z_<][A-Za-z0-9_<>.]*)'
 _IDENT = r"([A-Za-z0-9_]{4,})"
 _DOTTED = r"\b([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+)\b"
 
@@ -54,9 +56,11 @@ def module_paths(text: Column) -> Column:
     return F.array_distinct(F.concat(_all(text, _FROM, 1), _all(text, _IMPORT)))
 
 
-def frames(text: Column) -> Column:
-    """Traceback frames as structs ``path``, ``function``; synthetic and short names are left out. In the order of the text."""
-    f = F.arrays_zip(_all(text, _FRAME, 1).alias("path"), _all(text, _FRAME, 2).alias("function"))
+def frames(text: Column, anywhere: bool = False) -> Column:
+    """Traceback frames as structs ``path``, ``function``; synthetic and short names are left out. In the order of the text. A frame
+    begins its line; ``anywhere`` takes it inside a line, too."""
+    form = _FRAME if anywhere else _LINE_FRAME
+    f = F.arrays_zip(_all(text, form, 1).alias("path"), _all(text, form, 2).alias("function"))
     return F.filter(f, lambda x: ~x["function"].startswith("<") & (F.octet_length(x["function"]) >= 3) & ~F.lower(x["function"]).isin(*STOP_WORDS))
 
 

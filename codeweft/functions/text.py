@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,14 +113,24 @@ def holds_key(text: Column) -> Column:
     return F.coalesce(text.rlike("|".join(f"{p}[A-Za-z0-9_/-]{{{n},}}" for p, n in KEY_PREFIXES)), F.lit(False))
 
 
-def embedding_text(kind: Column, language: Column, name: Column, signature: Column, docstring: Column, body: Column) -> Column:
-    """The text of a symbol that an embedder gets."""
+def cut_bytes(text: Column, n: int) -> Column:
+    """X11: the longest beginning of a text that takes at most ``n`` bytes of UTF-8; no character is cut."""
+    raw = F.encode(text, "UTF-8")
+    inside = lambda k: F.hex(F.substring(raw, k + 1, 1)).between("80", "BF")
+    at = F.lit(max(n - 3, 0))
+    for k in (n - 2, n - 1, n):
+        at = F.when(~inside(k), F.lit(k)).otherwise(at) if k >= 0 else at
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.decode(raw.substr(F.lit(1), at), "UTF-8"))
+
+
+def embedding_text(kind: Column, language: Column, name: Column, signature: Column, docstring: Column, body: Column, cut: Callable[[Column, int], Column] = cut_bytes) -> Column:
+    """The text of a symbol that an embedder gets; ``cut`` takes the beginning of a body, by default in bytes."""
     sig, doc, b = (F.coalesce(c, F.lit("")) for c in (signature, docstring, body))
     typed = kind.isin(*TYPE_DEFS, "impl")
     return (
         F.when(F.trim(sig) == "", name)
-        .when(typed, F.concat_ws("\n", sig, F.when(doc != "", doc), F.left(b, F.lit(500))))
-        .when(language == "markdown", F.concat_ws("\n", sig, F.left(b, F.lit(1000))))
+        .when(typed, F.concat_ws("\n", sig, F.when(doc != "", doc), cut(b, 500)))
+        .when(language == "markdown", F.concat_ws("\n", sig, cut(b, 1000)))
         .otherwise(F.concat_ws("\n", sig, F.when(doc != "", doc)))
     )
 

@@ -95,10 +95,11 @@ def references(symbols: DataFrame) -> DataFrame:
 
 
 def shell_calls(symbols: DataFrame) -> DataFrame:
-    """E5: first words of the commands of shell functions to shell functions."""
+    """E5: first words of the commands of shell functions to shell functions. ``$`` before a word and signs after it are cut off."""
     sh = symbols.where("language = 'shell' AND kind = 'function'")
-    parts = F.transform(F.split("body", r"[\n;|&{(]"), lambda x: F.element_at(F.split(F.trim(x), r"\s+"), 1))
-    rows = sh.where("body IS NOT NULL").select(F.col("id").alias("from_id"), F.explode(F.array_distinct(parts)).alias("token")).where(F.col("token").rlike("^[A-Za-z0-9_-]{2,}$") & ~F.col("token").isin(*SHELL_WORDS))
+    first = lambda x: F.element_at(F.split(F.regexp_replace(F.regexp_replace(x, r"^\s+", ""), r"^\$*\(*", ""), r"\s+"), 1)
+    parts = F.transform(F.split("body", r"[\n;|&{(]"), lambda x: F.regexp_replace(first(x), r"[^\p{L}\p{N}_]+$", ""))
+    rows = sh.where("body IS NOT NULL").select(F.col("id").alias("from_id"), F.explode(F.array_distinct(parts)).alias("token")).where(F.col("token").rlike(r"^[\p{L}_][\p{L}\p{N}_-]*$") & (F.octet_length("token") >= 2) & ~F.col("token").isin(*SHELL_WORDS))
     return _linked(rows.withColumn("label", F.col("token")), _names(sh), "calls")
 
 

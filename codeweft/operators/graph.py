@@ -107,24 +107,29 @@ def impact(link: DataFrame, nodes: DataFrame, cent: DataFrame, seeds: DataFrame,
     return top.join(counts, ["seed", "relation"]).join(totals, "seed").select("seed", "relation", "place", "id", "fqn", "total_affected", F.greatest(F.col("n_list") - max(1, max_results), F.lit(0)).alias("truncated"))
 
 
-def shortest_paths(link: DataFrame, pairs: DataFrame, max_depth: int = 12) -> DataFrame:
+def shortest_paths(link: DataFrame, pairs: DataFrame) -> DataFrame:
     """``from_id``, ``to_id``, ``path`` (ids, both ends included): a shortest directed path of each pair.
 
     Of several, the one through the smallest ids wins. A node reaches itself by the path of one. Pairs without a path are
-    absent. Parents are kept per (start, node); paths are read back from the end.
+    absent. Parents are kept per (start, node); paths are read back from the end. A start goes on until all its ends are
+    reached or nothing new is, however long its paths are.
     """
     want = pairs.select("from_id", "to_id").where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct()
     front = want.select(F.col("from_id").alias("start"), F.col("from_id").alias("id")).distinct()
     seen = front.select("start", "id", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth"))
     rank = front.withColumn("ord", F.lit(1))
-    for depth in range(1, max_depth + 1):
-        step = rank.join(link.select(F.col("from_id").alias("id"), F.col("to_id").alias("next")), "id")
+    left = materialize(want.where("from_id <> to_id"), "left")
+    depth = 0
+    while not left.isEmpty():
+        depth += 1
+        step = rank.join(left.select(F.col("from_id").alias("start")), "start", "left_semi").join(link.select(F.col("from_id").alias("id"), F.col("to_id").alias("next")), "id")
         best = step.groupBy("start", "next").agg(F.min_by(F.col("id"), F.struct("ord", "id")).alias("parent"), F.min("ord").alias("po"))
         new = best.join(seen.select("start", F.col("id").alias("next")), ["start", "next"], "left_anti")
         new = new.withColumn("ord", F.row_number().over(Window.partitionBy("start").orderBy("po", "next")))
         new = materialize(new, "bfs")
-        if not new.limit(1).count():
+        if new.isEmpty():
             break
+        left = materialize(left.join(new.select(F.col("start").alias("from_id"), F.col("next").alias("to_id")), ["from_id", "to_id"], "left_anti"), "left")
         seen = seen.unionByName(new.select("start", F.col("next").alias("id"), "parent", F.lit(depth).alias("depth")))
         rank = new.select("start", F.col("next").alias("id"), "ord")
     seen = materialize(seen, "parents")

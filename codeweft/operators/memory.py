@@ -38,6 +38,11 @@ def with_ttl(obs: DataFrame, auto_days: int = 7, manual_days: int | None = None)
     return obs.withColumn("expires_at", F.when(days.isNotNull(), F.col("created_at") + F.make_dt_interval(days)))
 
 
+def delete(obs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The observations without those of the ids ``keys`` (``id``)."""
+    return obs.join(keys.select("id").distinct(), "id", "left_anti").select(*obs.columns)
+
+
 def mark_stale(obs: DataFrame, symbols: DataFrame) -> DataFrame:
     """M4: ``obs`` with ``is_stale`` set where the stored hash is not the hash of any symbol of that name. Null hashes and
     unknown symbols stay as they are."""
@@ -169,9 +174,17 @@ def rank_similar(obs: DataFrame, limit: int = SIMILAR, least: float = LEAST_SIMI
     return obs.where(F.col("similarity") >= least).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("query_id", "place", "id", "similarity")
 
 
-def session_lines(obs: DataFrame, detail: str = "L2") -> DataFrame:
+def session_lines(obs: DataFrame, detail: str = "L2", symbols: DataFrame | None = None) -> DataFrame:
     """``id``, ``line``: an observation as text. L1: headline of 80 characters; L2: kind and the whole text; L3: also the
-    symbol."""
+    symbol, with its signature and first 20 lines if ``symbols`` are given."""
+    if detail == "L3" and symbols is not None:
+        text = F.array_join(F.slice(F.split("body", "\n"), 1, 20), "\n")
+        snippet = F.concat(F.lit("\n"), F.trim("signature"), F.lit("\n"), text)
+        first = symbols.where("fqn IS NOT NULL AND body IS NOT NULL").groupBy("fqn").agg(F.min_by(F.struct(F.coalesce("signature", F.lit("")).alias("signature"), "body"), "id").alias("s"))
+        known = first.select(F.col("fqn").alias("symbol_fqn"), "s.*").select("symbol_fqn", snippet.alias("snippet"))
+        plain = session_lines(obs, "L3")
+        more = obs.select("id", "symbol_fqn").join(known, "symbol_fqn").select("id", "snippet")
+        return plain.join(more, "id", "left").select("id", F.concat("line", F.coalesce("snippet", F.lit(""))).alias("line"))
     body = F.coalesce("content", F.lit(""))
     head = F.when(F.octet_length(body) > 80, F.concat(F.left(body, F.lit(80)), F.lit("…"))).otherwise(body)
     flag = F.when(F.coalesce("is_stale", F.lit(False)), F.lit(" [stale]")).otherwise(F.lit(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +28,39 @@ def gone(scan: DataFrame, tracked: DataFrame) -> DataFrame:
 def cascade(paths: DataFrame, symbols: DataFrame, edges: DataFrame, embeddings: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The tables without everything that belongs to the given paths."""
     dead = symbols.join(paths.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").select("id")
-    e = edges.join(dead.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(dead.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
     return (
-        symbols.join(dead, "id", "left_anti"),
-        e.select(*edges.columns),
+        without_files(symbols, paths),
+        edges_without(edges, dead),
         embeddings.join(dead.withColumnRenamed("id", "symbol_id"), "symbol_id", "left_anti").select(*embeddings.columns),
         files.join(paths.select("path").distinct(), "path", "left_anti").select(*files.columns),
     )
 
 
+def without_files(symbols: DataFrame, paths: DataFrame) -> DataFrame:
+    """The symbols that are in none of the files (``path``)."""
+    return symbols.join(paths.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_anti").select(*symbols.columns)
+
+
+def edges_without(edges: DataFrame, dead: DataFrame) -> DataFrame:
+    """The edges that touch none of the symbols ``dead`` (``id``)."""
+    e = edges.join(dead.select(F.col("id").alias("from_id")), "from_id", "left_anti")
+    return e.join(dead.select(F.col("id").alias("to_id")), "to_id", "left_anti").select(*edges.columns)
+
+
+def save(df: DataFrame, folder: str, name: str) -> None:
+    """Write a table of the engine's folder. It is written beside the old one and then takes its place, so a run that fails
+    leaves the old table, and a table may be replaced by what was read from it."""
+    spark = df.sparkSession
+    new = f"{folder.rstrip('/')}/.{name}-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    here, there = path(new), path(f"{folder.rstrip('/')}/{name}.parquet")
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(there, True)
+    if not fs.rename(here, there):
+        raise OSError(f"could not put {name} in its place")
+
+
 def by_leaf(symbols: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame:
     """``leaf_name``, ``id``, ``place``: the first symbols (by id) of each asked leaf name."""
     w = Window.partitionBy("leaf_name").orderBy("id")

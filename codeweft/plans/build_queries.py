@@ -135,6 +135,20 @@ def c03_diff_impact(spark, sf_dir):
 def x12_embedding_texts(spark, sf_dir):
     from codeweft.functions.text import embedding_text
 
+    c = F.col
+    chars = lambda b, n: F.left(b, F.lit(n))
+    return symbols(spark, sf_dir).where("kind IS NOT NULL").select("id", embedding_text(c("kind"), c("language"), c("name"), c("signature"), c("docstring"), c("body"), chars).alias("text"))
+
+
+_BYTES = "left(b, list_max(list_filter(generate_series(0, least(length(b), {0})), lambda i: octet_length(encode(left(b, i))) <= {0})))"
+
+
+@CORE.add("x12_embedding_texts_bytes", with_views(f"""SELECT id, CASE WHEN trim(coalesce(signature, ''), ' ') = '' THEN name WHEN kind IN {_TYPES} OR kind = 'impl' THEN concat_ws(chr(10), signature, nullif(docstring, ''), {_BYTES.format(500)})
+    WHEN language = 'markdown' THEN concat_ws(chr(10), signature, {_BYTES.format(1000)}) ELSE concat_ws(chr(10), signature, nullif(docstring, '')) END AS text FROM (SELECT *, coalesce(body, '') AS b FROM sym WHERE kind IS NOT NULL)"""))
+def x12_embedding_texts_bytes(spark, sf_dir):
+    """The text that an embedder gets of every symbol, bodies cut in bytes."""
+    from codeweft.functions.text import embedding_text
+
     c = F.col
     return symbols(spark, sf_dir).where("kind IS NOT NULL").select("id", embedding_text(c("kind"), c("language"), c("name"), c("signature"), c("docstring"), c("body")).alias("text"))
 

@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from codeweft.functions import anchors as A
-from codeweft.operators import blocks, capsule, enrich, graph, memory, ranking, stats
+from codeweft.functions import text as X
+from codeweft.operators import blocks, capsule, enrich, graph, memory, ranking, stats, store
 from codeweft.plans import pipeline
 from codeweft.plans.materialize import materialize
 from codeweft.plans.search_queries import _FUSED, _INTENT, _searched, _selection, tasks
@@ -32,7 +33,7 @@ def x02_calls(spark, sf_dir):
 @CORE.add("x04_frames", "SELECT doc_id, len(regexp_extract_all(text, 'File \"([^\"]+)\", line \\d+, in ([A-Za-z_<][\\w.<>]*)', 1)) AS n FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, 'in <|in \\w{1,2}\\s') ")
 def x04_frames(spark, sf_dir):
     d = _docs(spark, sf_dir).where(~F.col("text").rlike(r"in <|in \w{1,2}\s"))
-    return d.select("doc_id", F.size(A.frames(F.col("text"))).cast("long").alias("n"))
+    return d.select("doc_id", F.size(A.frames(F.col("text"), anywhere=True)).cast("long").alias("n"))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in A.STOP_WORDS)
@@ -44,10 +45,26 @@ _STOPS = ", ".join(f"'{w}'" for w in A.STOP_WORDS)
     FROM documents WHERE text IS NOT NULL""",
 )
 def x04_frames_all(spark, sf_dir):
-    """Traceback frames of every document, synthetic and short names left out."""
+    """Traceback frames of every document, also inside a line, synthetic and short names left out."""
+    return _docs(spark, sf_dir).select("doc_id", F.size(A.frames(F.col("text"), anywhere=True)).cast("long").alias("n"))
+
+
+@CORE.add(
+    "x04_line_frames",
+    f"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?m)^\\s*File\\s+"([^"]+)",\\s*line\\s+\\d+,\\s*in\\s+([A-Za-z_<][A-Za-z0-9_<>.]*)', 2), lambda x: NOT starts_with(x, '<') AND octet_length(encode(x)) >= 3 AND lower(x) NOT IN ({_STOPS}))) AS n
+    FROM documents WHERE text IS NOT NULL""",
+)
+def x04_line_frames(spark, sf_dir):
+    """Traceback frames that begin their line, as the ranking takes them."""
     return _docs(spark, sf_dir).select("doc_id", F.size(A.frames(F.col("text"))).cast("long").alias("n"))
 
 
+@CORE.add("x11_cut", "SELECT doc_id, left(text, list_max(list_filter(generate_series(0, least(length(text), 100)), lambda i: octet_length(encode(left(text, i))) <= 100))) AS head FROM documents WHERE text IS NOT NULL")
+def x11_cut(spark, sf_dir):
+    """The first 100 bytes of every text, no character cut."""
+    return _docs(spark, sf_dir).select("doc_id", X.cut_bytes(F.col("text"), 100).alias("head"))
+
+
 @CORE.add("x05_prose_names", f"SELECT doc_id, len(list_filter(regexp_extract_all(text, '([A-Za-z0-9_]{{4,}})', 1), lambda x: regexp_matches(x, '^[A-Za-z_]') AND (contains(x, '_') OR (regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]'))) AND lower(x) NOT IN ({_STOPS}))) AS n FROM documents WHERE text IS NOT NULL")
 def x05_prose_names(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(A.prose_names(F.col("text"))).cast("long").alias("n"))
@@ -156,14 +173,13 @@ def x08_windows(spark, sf_dir):
 def g13_without_files(spark, sf_dir):
     """What remains when all files with stubs are removed."""
     s = symbols(spark, sf_dir)
-    gone = s.where("is_stub").select("file_path").distinct()
-    return s.join(gone, "file_path", "left_anti").groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    return store.without_files(s, s.where("is_stub").select(F.col("file_path").alias("path"))).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
 
 
 @CORE.add("m14_delete", with_views("SELECT id FROM obs WHERE kind IS DISTINCT FROM 'auto'"))
 def m14_delete(spark, sf_dir):
     o = observations(spark, sf_dir)
-    return o.select("id").join(o.where("kind = 'auto'").select("id"), "id", "left_anti")
+    return memory.delete(o, o.where("kind = 'auto'")).select("id")
 
 
 @CORE.add("n02_rust_types")

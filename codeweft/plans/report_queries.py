@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from codeweft.functions import text as X
-from codeweft.operators import graph, memory, stats
+from codeweft.operators import graph, memory, stats, store
 from codeweft.plans.sqltext import with_views
 from codeweft.registry import CORE
 from codeweft.sources.tables import nodes, observations, query_log, symbols, table
@@ -311,29 +311,27 @@ def s07_changed_files(spark, sf_dir):
     """Files whose latest state differs from the first one, or cannot be compared: what an incremental run reads again."""
     f = table(spark, sf_dir, "files").where("path IS NOT NULL")
     g = f.groupBy("path").agg(F.max_by("content_hash", F.struct("indexed_at", "content_hash")).alias("content_hash"), F.min_by("content_hash", F.struct("indexed_at", "content_hash")).alias("was"))
-    return g.where("was IS NULL OR content_hash IS NULL OR was <> content_hash").select("path", "content_hash")
+    return store.to_read(g.select("path", "content_hash"), g.select("path", F.col("was").alias("content_hash"))).select("path", "content_hash")
 
 
 @CORE.add("s08_stale_paths", with_views("SELECT DISTINCT path FROM files WHERE path IS NOT NULL AND path NOT IN (SELECT file_path FROM sym WHERE file_path IS NOT NULL)"))
 def s08_stale_paths(spark, sf_dir):
-    have = symbols(spark, sf_dir).select(F.col("file_path").alias("path")).distinct()
-    return table(spark, sf_dir, "files").where("path IS NOT NULL").select("path").distinct().join(have, "path", "left_anti")
+    return store.gone(symbols(spark, sf_dir).select(F.col("file_path").alias("path")), table(spark, sf_dir, "files").where("path IS NOT NULL"))
 
 
 @CORE.add("s09_latest_files", with_views("SELECT path, content_hash, indexed_at FROM filestate"))
 def s09_latest_files(spark, sf_dir):
+    """The state of every file after all its states were put in, the first ones and then the last ones."""
     f = table(spark, sf_dir, "files").where("path IS NOT NULL")
-    g = f.groupBy("path").agg(F.max(F.struct("indexed_at", "content_hash")).alias("s"))
-    return g.select("path", "s.content_hash", "s.indexed_at")
+    state = lambda pick: f.groupBy("path").agg(pick(F.struct("indexed_at", "content_hash")).alias("s")).select("path", "s.content_hash", "s.indexed_at")
+    return store.upsert(state(F.min), state(F.max), ["path"])
 
 
 @CORE.add("s10_leaf_lookup", with_views("SELECT leaf_name, id, place FROM (SELECT leaf_name, id, row_number() OVER (PARTITION BY leaf_name ORDER BY id) AS place FROM sym WHERE leaf_name IS NOT NULL) WHERE place <= 5"))
 def s10_leaf_lookup(spark, sf_dir):
     """The first five symbols of every leaf name."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("leaf_name").orderBy("id")
-    return symbols(spark, sf_dir).where("leaf_name IS NOT NULL").select("leaf_name", "id", F.row_number().over(w).alias("place")).where("place <= 5")
+    s = symbols(spark, sf_dir).where("leaf_name IS NOT NULL")
+    return store.by_leaf(s, s)
 
 
 @CORE.add("s11_cascade", with_views("SELECT from_id, to_id, kind FROM link WHERE from_id NOT IN (SELECT id FROM sym WHERE is_stub) AND to_id NOT IN (SELECT id FROM sym WHERE is_stub)"))
@@ -341,7 +339,7 @@ def s11_cascade(spark, sf_dir):
     """The links that remain when all stub files are removed."""
     gone = symbols(spark, sf_dir).where("is_stub").select("id")
     link = graph.links(table(spark, sf_dir, "edges"), nodes(spark, sf_dir))
-    return link.join(gone.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select("from_id", "to_id", "kind")
+    return store.edges_without(link, gone).select("from_id", "to_id", "kind")
 
 
 @CORE.add("s13_language_counts", with_views("SELECT language, count(*) AS n_symbols, CAST(sum(octet_length(encode(coalesce(body, ''))) // 4) AS BIGINT) AS tokens FROM sym GROUP BY 1"))
@@ -361,15 +359,13 @@ _LSP = "lsp AS (SELECT DISTINCT f.fqn AS from_fqn, coalesce(t.fqn, 'missing::' |
 )
 def s14_pushed_edges(spark, sf_dir):
     """Inheritance edges pushed by name: how many are accepted and skipped."""
-    from codeweft.operators.store import resolve_pushed
-
     n = nodes(spark, sf_dir)
     e = table(spark, sf_dir, "edges").where("from_id IS NOT NULL AND to_id IS NOT NULL").select("from_id", "to_id", graph.known_kind(F.col("kind")).alias("kind")).where("kind = 'inherits'")
     src = symbols(spark, sf_dir).select(F.col("id").alias("from_id"), F.col("fqn").alias("from_fqn"))
     dst = n.select(F.col("id").alias("to_id"), F.col("fqn").alias("to_fqn"))
     pushed = e.join(src, "from_id").join(dst, "to_id", "left").select("from_fqn", F.coalesce("to_fqn", F.concat(F.lit("missing::"), F.col("to_id").cast("string"))).alias("to_fqn"), "kind").distinct()
     ok = F.col("from_id").isNotNull() & F.col("to_id").isNotNull()
-    return resolve_pushed(pushed, n).agg(F.coalesce(F.sum(ok.cast("long")), F.lit(0)).alias("n_accepted"), F.coalesce(F.sum((~ok).cast("long")), F.lit(0)).alias("n_skipped"))
+    return store.resolve_pushed(pushed, n).agg(F.coalesce(F.sum(ok.cast("long")), F.lit(0)).alias("n_accepted"), F.coalesce(F.sum((~ok).cast("long")), F.lit(0)).alias("n_skipped"))
 
 
 @CORE.add(
