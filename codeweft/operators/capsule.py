@@ -94,7 +94,8 @@ def pack_pivots(pivots: DataFrame, symbols: DataFrame, queries: DataFrame, budge
     """C1, pivots: ``query_id``, ``place``, ``id``, ``form`` (whole, window, skeleton), ``tokens``, ``text``.
 
     Greedy in the order of the pivots, so a fold per query over at most a handful of rows: a body above 300 tokens is cut to the window that
-    fits, one that does not fit the rest is taken as its skeleton or left out. ``budget`` of the queries wins over the default.
+    fits, one that does not fit the rest is taken as its skeleton or left out. ``budget`` of the queries wins over the default. Without
+    a task nothing is cut.
     """
     q = queries.select("query_id", "task", F.coalesce(F.col("budget"), F.lit(budget)).cast("int").alias("budget"))
     rows = pivots.join(symbols.select("id", "kind", "language", "signature", "docstring", "body"), "id").join(q, "query_id")
@@ -108,7 +109,7 @@ def pack_pivots(pivots: DataFrame, symbols: DataFrame, queries: DataFrame, budge
         for r in pdf.itertuples(index=False):
             body = r.body or ""
             form, text = "whole", body
-            if len(body.encode()) // 4 > WHOLE:
+            if r.task is not None and len(body.encode()) // 4 > WHOLE:
                 form, text = "window", chunk_for_query(body, r.task, min(left, WINDOW))
             t = len(text.encode()) // 4
             if t > left:
@@ -132,6 +133,19 @@ def pack_adjacents(packed: DataFrame, adjacents: DataFrame, symbols: DataFrame,
     return rows.withColumn("upto", F.sum("tokens").over(w)).where(F.col("upto") <= F.col("room")).select("query_id", "place", "id", "tokens")
 
 
+def pack_memories(memories: DataFrame, queries: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """C1, memories: ``query_id``, ``place``, ``id``, ``content``, ``created_at``, ``symbol_fqn``, ``is_stale``, ``tokens``: in order until
+    the first that does not fit the reserve: a prefix sum."""
+    q = queries.select("query_id", F.floor(F.coalesce(F.col("budget"), F.lit(budget)) * RESERVE).alias("room"))
+    rows = memories.withColumn("tokens", tokens(F.col("content"))).join(q, "query_id")
+    w = Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("upto", F.sum("tokens").over(w)).where(F.col("upto") <= F.col("room")).select("query_id", "place", "id", "content", "created_at", "symbol_fqn", "is_stale", "tokens")
+
+
+#: What a capsule with Swift symbols says about itself. No external tool is asked, so it is always the same.
+SWIFT_HINT = "> **Swift symbols:** read from the source alone, without resolved types or expanded macros. Ask the platform's own tools where those matter."
+
+
 def summary(packed: DataFrame, skeletons: DataFrame, queries: DataFrame, budget: int = BUDGET) -> DataFrame:
     """``query_id``, ``n_pivots``, ``n_skeletons``, ``total_tokens`` (the memory reserve included), ``pct`` of the budget."""
     p = packed.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_pivots"), F.sum("tokens").alias("pt"))
@@ -142,15 +156,40 @@ def summary(packed: DataFrame, skeletons: DataFrame, queries: DataFrame, budget:
     return j.select("query_id", "n_pivots", "n_skeletons", total.alias("total_tokens"), F.round(100.0 * total / F.col("budget"), 2).alias("pct"))
 
 
-def render(packed: DataFrame, skeletons: DataFrame, symbols: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id``, ``markdown``: the capsule as text. A query's parts are bounded by its budget."""
-    s = symbols.select("id", "fqn", "language", "signature")
+def render(packed: DataFrame, skeletons: DataFrame, symbols: DataFrame, queries: DataFrame, memories: DataFrame | None = None) -> DataFrame:
+    """``query_id``, ``markdown``: the capsule as text, with packed ``memories`` if there are any. A query's parts are bounded
+    by its budget."""
+    s = symbols.select("id", "fqn", "language", "signature", "file_path")
     fence = F.concat(F.lit("### "), F.col("fqn"), F.lit("\n```"), F.coalesce("language", F.lit("")), F.lit("\n"), F.col("text"), F.lit("\n```"))
     full = packed.join(s, "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", fence.alias("t")))).alias("a"))
     brief = skeletons.join(s, "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", F.concat(F.lit("- "), F.col("fqn"), F.lit(": "), F.coalesce("signature", F.lit(""))).alias("t")))).alias("b"))
     j = queries.select("query_id", "task").join(full, "query_id", "left").join(brief, "query_id", "left")
+    swift = packed.select("query_id", "id").unionByName(skeletons.select("query_id", "id")).join(s.where(F.col("file_path").endswith(".swift")), "id", "left_semi").select("query_id").distinct()
+    j = j.join(swift.withColumn("swift", F.lit(SWIFT_HINT)), "query_id", "left")
+    if memories is None:
+        j = j.withColumn("c", F.lit(None).cast("array<struct<place:int,t:string>>"))
+    else:
+        about = F.when(F.col("symbol_fqn").isNotNull(), F.concat(F.lit(" (re: `"), F.col("symbol_fqn"), F.lit("`)"))).otherwise(F.lit(""))
+        line = F.concat(F.lit("- "), F.coalesce(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), F.lit("?")), about, F.when(F.col("is_stale"), F.lit(" [stale]")).otherwise(F.lit("")), F.lit(": "), F.coalesce("content", F.lit("")))
+        j = j.join(memories.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("t")))).alias("c")), "query_id", "left")
     texts = lambda c, sep: F.array_join(F.transform(F.coalesce(F.col(c), F.array()), lambda x: x["t"]), sep)
-    return j.select("query_id", F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("task")), F.when(F.col("a").isNotNull(), texts("a", "\n\n")), F.when(F.col("b").isNotNull(), F.concat(F.lit("## Related\n"), texts("b", "\n")))).alias("markdown"))
+    return j.select("query_id", F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("task")), F.when(F.col("a").isNotNull(), texts("a", "\n\n")), F.when(F.col("b").isNotNull(), F.concat(F.lit("## Related\n"), texts("b", "\n"))), F.when(F.col("c").isNotNull(), F.concat(F.lit("## Memory\n"), texts("c", "\n"))), F.col("swift")).alias("markdown"))
+
+
+def render_impact(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``seed``, ``markdown``: the rows of an impact query as text, with what was shown and what was cut off. A seed's rows are at
+    most twice the query's ``max_results``."""
+    s = symbols.select("id", "fqn", "file_path", "start_line")
+    place = F.concat(F.lit("- `"), F.coalesce("fqn", F.lit("")), F.lit("` ("), F.coalesce("file_path", F.lit("")), F.lit(":"), F.coalesce(F.col("start_line").cast("string"), F.lit("?")), F.lit(")"))
+    lines = rows.select("seed", "relation", "place", "id", "total_affected", "truncated").join(s, "id", "left").groupBy("seed", "relation", "total_affected").agg(F.array_sort(F.collect_list(F.struct("place", place.alias("t")))).alias("a"), F.max("truncated").alias("cut"))
+    more = F.col("cut") > 0
+    head = F.concat(F.lit("### "), F.initcap("relation"), F.lit(" dependents ("), F.size("a").cast("string"), F.lit(" shown"), F.when(more, F.concat(F.lit(", "), F.col("cut").cast("string"), F.lit(" more truncated"))).otherwise(F.lit("")), F.lit(")"))
+    tail = F.when(more, F.concat(F.lit("\n- … + "), F.col("cut").cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    part = F.concat(head, F.lit("\n"), F.array_join(F.transform("a", lambda x: x["t"]), "\n"), tail)
+    whole = lines.groupBy("seed", "total_affected").agg(F.array_sort(F.collect_list(F.struct("relation", part.alias("t")))).alias("p"))
+    named = whole.join(s.select(F.col("id").alias("seed"), F.col("fqn").alias("target")), "seed", "left")
+    title = F.concat(F.lit("## Impact graph: "), F.coalesce("target", F.col("seed").cast("string")), F.lit("\n\nTotal affected: "), F.col("total_affected").cast("string"))
+    return named.select("seed", F.concat_ws("\n\n", title, F.array_join(F.transform("p", lambda x: x["t"]), "\n\n")).alias("markdown"))
 
 
 def file_skeleton(symbols: DataFrame, max_depth: int | None = None) -> DataFrame:

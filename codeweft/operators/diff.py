@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweft.operators import capsule, memory
+from codeweft.plans.materialize import materialize
+
 
 def hunks(diffs: DataFrame) -> DataFrame:
     """``diff_id``, ``file_path``, ``first``, ``last``: new-side line ranges of every hunk of ``diffs`` (``diff_id``, ``diff``).
@@ -38,3 +43,17 @@ def impact(pivots: DataFrame, link: DataFrame, symbols: DataFrame, tests: int =
     near = t.join(names, "w").select("diff_id", "id").distinct().join(p, ["diff_id", "id"], "left_anti").join(dep, ["diff_id", "id"], "left_anti")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("diff_id").orderBy("id"))).where(F.col("r") <= tests).drop("r")
     return p.withColumn("role", F.lit("pivot")).unionByName(dep.withColumn("role", F.lit("dependent"))).unionByName(near.withColumn("role", F.lit("test")))
+
+
+def packed(roles: DataFrame, symbols: DataFrame, obs: DataFrame, now: dt.datetime, budget: int = capsule.BUDGET) -> DataFrame:
+    """``query_id``, ``markdown`` of the roles of :func:`impact`: changed symbols whole as far as they fit, callers and tests as
+    outlines, and the ten observations that mention most of the changed names."""
+    q = roles.select(F.col("diff_id").alias("query_id")).distinct().withColumns({"task": F.lit(None).cast("string"), "budget": F.lit(budget)})
+    s = symbols.select("id", "file_path", "start_line", "leaf_name")
+    order = lambda df: df.join(s, "id").withColumn("place", F.row_number().over(Window.partitionBy("diff_id").orderBy(*[F.col(c) for c in ("role", "file_path", "start_line", "id")]))).select(F.col("diff_id").alias("query_id"), "place", "id")
+    full = materialize(capsule.pack_pivots(order(roles.where("role = 'pivot'")), symbols, q, budget), "packed")
+    brief = capsule.pack_adjacents(full, order(roles.where("role <> 'pivot'")), symbols, q, budget)
+    names = roles.where("role = 'pivot'").join(s, "id").groupBy(F.col("diff_id").alias("query_id")).agg(F.array_join(F.array_sort(F.collect_set("leaf_name")), " ").alias("query"))
+    hits = memory.search(obs, names, now, 10).join(obs.select("id", "content", "created_at", "symbol_fqn", "is_stale"), "id")
+    titled = q.join(names, "query_id", "left").select("query_id", F.concat(F.lit("Changed: "), F.coalesce("query", F.lit("nothing"))).alias("task"))
+    return capsule.render(full, brief, symbols, titled, capsule.pack_memories(hits, q, budget))

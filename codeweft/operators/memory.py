@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.operators import blocks
@@ -153,18 +155,25 @@ def passive_notes(diff: DataFrame) -> DataFrame:
 
 
 def suppress_repeats(log: DataFrame, minutes: int = 30) -> DataFrame:
-    """M7: the rows that are recorded when a task is skipped within 30 minutes of its last *recorded* row: ``id``, ``task``,
-    ``timestamp``. Greedy and in order, so a fold over each task's times; a task's times are its own few runs."""
-    g = log.where("task IS NOT NULL AND timestamp IS NOT NULL").groupBy("task").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t"), "id"))).alias("runs"))
-    gap = F.lit(minutes * 60 * 1_000_000)
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.expr("CAST(array() AS array<bigint>)").alias("ids"))
+    """M7: ``task``, ``id`` of the rows that are recorded when a task is skipped within 30 minutes of its last *recorded* row.
 
-    def step(acc: Column, x: Column) -> Column:
-        keep = acc["last"].isNull() | (x["t"] - acc["last"] >= gap)
-        return F.struct(F.when(keep, x["t"]).otherwise(acc["last"]).alias("last"), F.when(keep, F.concat(acc["ids"], F.array(x["id"].cast("long")))).otherwise(acc["ids"]).alias("ids"))
+    Greedy and in order: the rows of a partition are sorted by task and time and pass as a stream, of which one time per task
+    is held, so a task with very many runs is never a row or a group in memory."""
+    gap = minutes * 60 * 1_000_000
+    rows = log.where("task IS NOT NULL AND timestamp IS NOT NULL").select("task", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t"), "id")
 
-    kept = g.select("task", F.explode(F.aggregate("runs", start, step)["ids"]).alias("id"))
-    return kept
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, last = None, 0
+        for pdf in batches:
+            keep = []
+            for name, t in zip(pdf["task"], pdf["t"].to_numpy()):
+                fresh = name != task or t - last >= gap
+                task, last = name, t if fresh else last
+                keep.append(fresh)
+            yield pdf.loc[keep, ["task", "id"]]
+
+    kind = log.schema["id"].dataType.simpleString()
+    return rows.repartition("task").sortWithinPartitions("task", "t", "id").mapInPandas(run, f"task string, id {kind}")
 
 
 def rank_similar(obs: DataFrame, limit: int = SIMILAR, least: float = LEAST_SIMILAR) -> DataFrame:
@@ -174,6 +183,21 @@ def rank_similar(obs: DataFrame, limit: int = SIMILAR, least: float = LEAST_SIMI
     return obs.where(F.col("similarity") >= least).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("query_id", "place", "id", "similarity")
 
 
+def pool(obs: DataFrame, now: dt.datetime, limit: int = SIMILAR) -> DataFrame:
+    """The live observations that are compared with a task: the latest ``3 * limit``, 30 at least (a top-k report)."""
+    return recent(obs, now, max(3 * limit, 30))
+
+
+def for_tasks(obs: DataFrame, queries: DataFrame, now: dt.datetime, limit: int = SIMILAR, similarity: DataFrame | None = None) -> DataFrame:
+    """``query_id``, ``place`` and the columns of the observations that go with each task: by ``similarity`` (``query_id``, ``id``,
+    ``similarity``) if there is one, else the latest ``limit`` for every task."""
+    cols = ["id", "content", "created_at", "symbol_fqn", "is_stale"]
+    if similarity is not None:
+        return rank_similar(similarity, limit).join(live(obs, now).select(*cols), "id").select("query_id", "place", *cols)
+    last = recent(obs, now, limit).select(*cols).withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), "id")))  # limit rows
+    return queries.select("query_id").crossJoin(F.broadcast(last)).select("query_id", "place", *cols)
+
+
 def session_lines(obs: DataFrame, detail: str = "L2", symbols: DataFrame | None = None) -> DataFrame:
     """``id``, ``line``: an observation as text. L1: headline of 80 characters; L2: kind and the whole text; L3: also the
     symbol, with its signature and first 20 lines if ``symbols`` are given."""

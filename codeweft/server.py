@@ -11,6 +11,8 @@ import json
 import sys
 from typing import Any, BinaryIO
 
+from pyspark.sql import functions as F
+
 from codeweft.api import Engine
 
 MOST_BYTES = 10 * 1024 * 1024
@@ -63,18 +65,18 @@ def write_message(stream: BinaryIO, message: Any, framed: bool) -> None:
 #: Tools: name -> (arguments that must be there, call).
 TOOLS = {
     "run_pipeline": (("task",), lambda e, a: e.run_pipeline(a["task"], a.get("context"), a.get("budget_tokens"), a.get("language"), a.get("file_hint"))),
-    "get_context_capsule": (("query",), lambda e, a: e.get_context_capsule(a["query"], budget=a.get("budget_tokens"), min_score=a.get("min_score"))),
+    "get_context_capsule": (("query",), lambda e, a: e.get_context_capsule(a["query"], budget=a.get("budget_tokens"), min_score=a.get("min_score"), max_pivots=a.get("max_results"))),
     "get_impact_graph": (("symbol_fqn",), lambda e, a: e.get_impact_graph(a["symbol_fqn"], int(a.get("max_depth", 5)), int(a.get("max_results", 100)), bool(a.get("include_tests", True)))),
     "get_skeleton": (("file_path",), lambda e, a: e.get_skeleton(a["file_path"], a.get("max_depth"))),
     "search_logic_flow": (("from_fqn", "to_fqn"), lambda e, a: e.search_logic_flow(a["from_fqn"], a["to_fqn"])),
     "index_status": ((), lambda e, a: e.index_status()),
     "get_session_context": ((), lambda e, a: e.get_session_context(_now(a), a.get("detail_level", "L2"))),
     "search_memory": (("query",), lambda e, a: e.search_memory(a["query"], _now(a), int(a.get("max_results", 10)))),
-    "save_observation": (("content",), lambda e, a: e.save_observation(a["content"], a.get("session_id", "server"), _now(a), a.get("symbol_fqn")).where("session_id = 'server'")),
-    "get_diff_capsule": (("diff",), lambda e, a: e.get_diff_capsule(a["diff"])),
+    "save_observation": (("content",), lambda e, a: e.save_observation(a["content"], a.get("session_id", "server"), _now(a), a.get("symbol_fqn"), write=bool(a.get("write"))).where(F.col("session_id") == a.get("session_id", "server"))),
+    "get_diff_capsule": (("diff",), lambda e, a: e.diff_capsule(a["diff"], _now(a), a.get("budget_tokens")) if a.get("text") else e.get_diff_capsule(a["diff"])),
     "generate_module_docs": ((), lambda e, a: e.generate_module_docs(a.get("write_to"))),
-    "get_stats": ((), lambda e, a: e.get_stats(_now(a), int(a.get("days", 30)))["usage"]),
-    "submit_lsp_edges": (("edges",), lambda e, a: e.submit_lsp_edges(e.spark.createDataFrame([(x["from_fqn"], x["to_fqn"], x.get("kind", "references")) for x in a["edges"]], "from_fqn string, to_fqn string, kind string"))),
+    "get_stats": ((), lambda e, a: e.get_stats(_now(a), int(a.get("days", 30)))),
+    "submit_lsp_edges": (("edges",), lambda e, a: e.submit_lsp_edges(e.spark.createDataFrame([(x["from_fqn"], x["to_fqn"], x.get("kind", "references")) for x in a["edges"]], "from_fqn string, to_fqn string, kind string"), write=bool(a.get("write")))),
 }
 
 
@@ -107,7 +109,9 @@ def answer(engine: Engine, message: Any) -> dict | None:
     if missing:
         return _error(key, TOOL_ERROR, f"missing {', '.join(missing)}")
     try:
-        rows = [r.asDict(recursive=True) for r in call(engine, args).limit(MOST_ROWS).collect()]
+        got = call(engine, args)
+        parts = got if isinstance(got, dict) else {"": got}
+        rows = [({"section": k} if k else {}) | r.asDict(recursive=True) for k, df in parts.items() for r in df.limit(MOST_ROWS).collect()]
     except Exception as e:  # noqa: BLE001 - whatever goes wrong is told to the caller
         return _error(key, TOOL_ERROR, str(e)[:500])
     return _ok(key, {"content": [{"type": "text", "text": json.dumps(rows, ensure_ascii=False, default=str)}]})

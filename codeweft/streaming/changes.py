@@ -5,10 +5,11 @@ A change is ``path``, ``kind`` (created, modified, removed), ``ts``, ``content``
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -67,12 +68,14 @@ def thrash_stream(edits: DataFrame, least: int = THRASH_EDITS, seconds: int = TH
         held = [pd.Timestamp(t) for t in state.get[0]] if state.exists else []
         fresh = sorted(pd.Timestamp(t) for pdf in batches for t in pdf["ts"])
         out = []
-        for t in fresh:
-            held.append(t)
-            n = sum(t - span < h <= t for h in held)
+        held = sorted(held)
+        for t in fresh:  # in order, so a binary search finds what is within the span
+            at = bisect.bisect_right(held, t)
+            held.insert(at, t)
+            n = at + 1 - bisect.bisect_right(held, t - span)
             if n >= least:
                 out.append((key[0], t, n))
-        newest = max(held)
+        newest = held[-1]
         held = sorted(h for h in held if h > newest - span)
         state.update(([h.to_pydatetime() for h in held],))
         state.setTimeoutTimestamp(max(int((newest + span).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
@@ -107,5 +110,4 @@ def suppress_stream(log: DataFrame, minutes: int = 30, late: str = "10 minutes")
 
 def fold_batch(changes: DataFrame) -> DataFrame:
     """The batch form of T3 with the number of changes that were folded."""
-    w = Window.partitionBy("path")
-    return changes.withColumn("n", F.count(F.lit(1)).over(w)).groupBy("path").agg(F.max_by("kind", F.struct("ts", "kind")).alias("kind"), F.max("ts").alias("ts"), F.max("n").alias("n"))
+    return changes.groupBy("path").agg(F.max_by("kind", F.struct("ts", "kind")).alias("kind"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
