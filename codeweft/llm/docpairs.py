@@ -196,7 +196,8 @@ def says_something(doc: str, name: str, signature: str | None) -> str | None:
     """The describing part of a documentation text (without markers), or None if there is none.
 
     Lines and sentences that are directives, placeholders, filler or references are left out, tags lose their names and
-    types; then at least one word must remain that is not in the name, the signature or the glue.
+    types; then at least one word must remain that is not in the name, the signature or the glue. Names of the code, such as a
+    type that the signature does not have, are no words.
     """
     text = bare(doc)
     if not text or _BANNER.search(text) and _is_banner(text):
@@ -232,8 +233,12 @@ def says_something(doc: str, name: str, signature: str | None) -> str | None:
     return "\n".join(kept) if news else None
 
 
+#: Names of the code, which are no words: with underscores, in camel case, or of several capitalised parts.
+_NAME_LIKE = re.compile(r"\b(?:[A-Za-z0-9]+_\w+|_\w+|[a-z]+[A-Z]\w*|(?:[A-Z][a-z0-9]+){2,})\b")
+
+
 def _news(sentence: str, known: set[str]) -> bool:
-    plain = re.sub(r"\{@?\w+\s*[^}]*\}|<[^>]*>|https?://\S+", " ", sentence)
+    plain = _NAME_LIKE.sub(" ", re.sub(r"\{@?\w+\s*[^}]*\}|<[^>]*>|https?://\S+", " ", sentence))
     for w in _words(plain):
         low = w.lower()
         if low.isdigit() or (len(low) == 1 and low.isascii()):

@@ -88,3 +88,18 @@ def test_found_reads_pairs(spark, monkeypatch):
     monkeypatch.setattr(docpairs_queries, "table", lambda *a: None)
     monkeypatch.setattr(docpairs, "pairs", lambda _: spark.createDataFrame([(1, "docstring"), (2, "body"), (3, "declaration")], "id long, origin string"))
     assert sorted(r.id for r in docpairs_queries.p3_found(spark, "").collect()) == [1, 2]
+
+
+@pytest.mark.parametrize(
+    "doc,said",
+    [
+        ("Takes raw_epoch, owner. Returns ColumnReport.", False),
+        ("A method called commit which commits and returns DraftCommit.", False),
+        ("commit: takes no arguments and returns a NestedTicket.", False),
+        ("Returns the ColumnReport of the last hour.", True),
+        ("Not thread-safe.", True),
+        ("Zählt ab eins.", True),
+    ],
+)
+def test_names_of_types_are_no_words(doc, said):
+    assert bool(says_something(doc, "commit", "def commit(self, raw_epoch, owner):")) is said
