@@ -16,6 +16,7 @@ from codeweft.plans import pipeline
 from codeweft.plans.materialize import materialize
 from codeweft.sources import extract as X
 from codeweft.sources import tables as T
+from codeweft.streaming import changes as C
 
 _TABLES = ("symbols", "edges", "library_symbols", "files", "observations", "query_log")
 
@@ -78,10 +79,12 @@ class Engine:
         symbols, so none is lost between runs. With ``write`` they take the place of the engine's tables."""
         from codeweft.operators import edges
 
-        scan = X.scan(self.spark, root)
+        scan = materialize(X.scan(self.spark, root), "scan")
         old = self.symbols
         tracked = T.last_row(self.table("files"), "path", "indexed_at")
-        fresh = X.extract(store.to_read(scan, tracked, force))
+        stubs = X.scan_stubs(self.spark, root).select("path", "content", "content_hash")  # always read
+        fresh = X.extract(store.to_read(scan, tracked, force).select("path", "content")).unionByName(X.extract(stubs.select("path", "content")).withColumn("is_stub", F.lit(True)))
+        scan = scan.select("path", "content_hash").unionByName(stubs.select("path", "content_hash"))
         gone = store.gone(scan, tracked)
         kept = old.join(fresh.select("file_path").distinct(), "file_path", "left_anti").join(gone.withColumnRenamed("path", "file_path"), "file_path", "left_anti")
         now = kept.unionByName(fresh, allowMissingColumns=True)
@@ -105,6 +108,23 @@ class Engine:
     def index_status(self) -> DataFrame:
         return stats.index_status(self.symbols, self.index.link, self.table("files").select("path").distinct(), T.observations(self.spark, self.folder))
 
+    def apply_changes(self, changes: DataFrame, edits: DataFrame | None = None) -> None:
+        """T4: put the changes of a batch (``path``, ``kind``, ``ts``, ``content``, one row per path) into the tables."""
+        done = C.reindex_all(self.symbols, T.last_row(self.table("files"), "path", "indexed_at"), T.observations(self.spark, self.folder), changes, X.extract, edits, self.conf.auto_ttl_days)
+        self.save(**{name: materialize(df, name) for name, df in done.items()})
+
+    def watch(self, folder: str, checkpoint: str, interval: str | None = None):
+        """Follow the change records in a folder; without ``interval`` what is there now. Returns the running query."""
+        stream = C.read_changes(self.spark, folder)
+
+        def batch(df: DataFrame, _: int) -> None:
+            raw = materialize(df, "changes")  # read once, used as edits and as changes
+            if not raw.isEmpty():
+                self.apply_changes(C.last_per_path(raw), raw.select("path", F.col("ts").cast("timestamp_ntz").alias("ts")))
+
+        writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+        return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
     # ---- retrieval
 
     def _tasks(self, tasks: DataFrame | str, **filters: object) -> DataFrame:

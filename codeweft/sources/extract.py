@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import EXTENSIONS
+from codeweft.sources import walk
 
 
 @dataclass
@@ -343,19 +344,15 @@ SKIPPED = ("node_modules", "target", "__pycache__", ".git", "dist", "build", ".b
 
 
 def scan(spark, root: str) -> DataFrame:
-    """``path`` (below ``root``), ``content``, ``content_hash`` of the source files of a tree; hidden folders, package folders and
-    files whose name or content looks secret (S3, S4) are left out."""
+    """``path`` (below ``root``), ``content``, ``content_hash`` of the source files of a tree, as its ignore files have it, without
+    package and build folders; files whose name or content looks secret (S3, S4) are left out."""
     from codeweft.functions.text import holds_key, sensitive_name
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(root)
-    rel = F.regexp_replace("path", "^(?:file:)?/*" + re.escape(root.removeprefix("file:").strip("/")) + "/?", "")
-    rows = raw.select(rel.alias("path"), F.col("content").cast("string").alias("content"))
-    ok = ~F.concat(F.lit("/"), F.col("path")).rlike(r"/(?:" + "|".join(re.escape(x) for x in SKIPPED) + r"|\.[^/]+)/")
-    return rows.where(ok & ~sensitive_name(F.col("path")) & ~holds_key(F.col("content"))).withColumn("content_hash", F.sha2("content", 256))
+    rows = walk.read(spark, root, walk.list_files(root, walk.INDEXED, skip=SKIPPED))
+    return rows.where(~sensitive_name(F.col("path")) & ~holds_key(F.col("content"))).withColumn("content_hash", F.sha2("content", 256))
 
 
 def scan_stubs(spark, root: str) -> DataFrame:
     """Type stubs of installed packages, marked as such and never skipped."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{ts,pyi,swiftinterface}").load(root)
-    rows = raw.select("path", F.col("content").cast("string").alias("content"))
-    return rows.where(F.col("path").rlike(r"node_modules/@types/.*\.ts$|site-packages/.*\.pyi$|\.build/.*\.swiftinterface$")).withColumn("is_stub", F.lit(True))
+    rows = walk.read(spark, root, walk.stub_files(root))
+    return rows.withColumns({"content_hash": F.sha2("content", 256), "is_stub": F.lit(True)})

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from codeweft.operators import edges, memory, store
 from codeweft.operators.memory import THRASH_EDITS, THRASH_SECONDS
+from codeweft.plans.materialize import materialize
 from codeweft.sources.extract import SKIPPED
 
 CHANGES = "path string, kind string, ts timestamp, content string"
@@ -52,6 +54,39 @@ def reindex(symbols: DataFrame, changes: DataFrame, extract: Callable[[DataFrame
     return symbols.join(touched, "file_path", "left_anti").unionByName(fresh, allowMissingColumns=True), before
 
 
+def notes_of(kind: str, rows: DataFrame, days: int) -> DataFrame:
+    """Observations (``id``, ``content``, ``kind``, ``created_at``, ``expires_at``, ``change_category``, ``is_stale``) of rows with
+    ``content``, ``ts`` and ``category``; the id is a function of content and time, so a batch that is run twice writes them once."""
+    new = rows.select("content", F.col("ts").cast("timestamp_ntz").alias("created_at"), F.col("category").alias("change_category"))
+    new = new.withColumns({"kind": F.lit(kind), "is_stale": F.lit(False), "session_id": F.lit("watch")})
+    return memory.with_ttl(new.withColumn("id", F.sha2(F.concat_ws("/", "kind", F.col("created_at").cast("string"), "content"), 256)), days)
+
+
+def reindex_all(symbols: DataFrame, files: DataFrame, obs: DataFrame, changes: DataFrame, extract: Callable[[DataFrame], DataFrame], edits: DataFrame | None = None, auto_days: int = 7) -> dict[str, DataFrame]:
+    """T4 as a whole: ``symbols``, ``edges``, ``files`` and ``observations`` after the folded ``changes`` of a batch.
+
+    Symbols of changed files are read again and compared with what was there (M2); notes say per file what changed (M3) and which
+    files are edited again and again (M5, from ``edits``: ``path``, ``ts``); observations whose symbols look different now are stale
+    (M4); edges are extracted anew, so links between files that changed at different times stay. A removed file loses its symbols
+    and its state, without a note.
+    """
+    now, before = reindex(symbols, changes, extract)
+    now, before = materialize(now, "symbols"), materialize(before, "before")
+    live = changes.where("kind <> 'removed'").select(F.col("path").alias("file_path"), "ts").distinct()
+    after = now.join(live.select("file_path"), "file_path", "left_semi")
+    found = memory.passive_notes(memory.symbol_diff(before.join(live.select("file_path"), "file_path", "left_semi"), after))
+    notes = notes_of("passive", found.join(live, "file_path"), auto_days)
+    if edits is not None:
+        busy = memory.thrash(edits.join(live.select(F.col("file_path").alias("path")), "path", "left_semi")).groupBy("path").agg(F.max("ts").alias("ts"), F.max("n").alias("n"))
+        said = F.concat(F.col("path"), F.lit(" was edited "), F.col("n").cast("string"), F.lit(" times within five minutes"))
+        notes = notes.unionByName(notes_of("file_thrash", busy.select(said.alias("content"), "ts", F.lit(None).cast("string").alias("category")), auto_days))
+    kept = memory.mark_stale(obs, now)
+    state = changes.where("kind <> 'removed' AND content IS NOT NULL").select("path", F.sha2("content", 256).alias("content_hash"), F.col("ts").cast("timestamp_ntz").alias("indexed_at"))
+    rest = files.join(changes.select("path").distinct(), "path", "left_anti").select("path", "content_hash", "indexed_at")
+    missing = {c: F.lit(None).cast(obs.schema[c].dataType) for c in obs.columns if c not in notes.columns}
+    return {"symbols": now, "edges": edges.extract(now), "files": rest.unionByName(state), "observations": store.upsert(kept, notes.withColumns(missing).select(*obs.columns), ["id"])}
+
+
 def thrash_stream(edits: DataFrame, least: int = THRASH_EDITS, seconds: int = THRASH_SECONDS, late: str = "10 minutes") -> DataFrame:
     """T5: ``path``, ``ts``, ``n`` for every edit that is at least the fourth of its path within five minutes.
 

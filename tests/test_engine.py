@@ -6,6 +6,7 @@ import shutil
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from codeweft.api import Engine
 from codeweft.operators import capsule, enrich, memory
@@ -84,3 +85,30 @@ def test_suppression_streams_a_hot_task(spark):
     assert sorted(r.id for r in memory.suppress_repeats(log).collect()) == [0, 3, 6, 7, 90]
     c = spark.createDataFrame([("p", "created", t[0]), ("p", "removed", t[1]), ("q", "created", t[0])], "path string, kind string, ts timestamp_ntz")
     assert sorted((r.path, r.kind, r.n) for r in fold_batch(c).collect()) == [("p", "removed", 2), ("q", "created", 1)]
+
+
+def test_changes_run_through(engine, tmp_path):
+    import json
+
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("def foo():\n    return bar_one(1)\n\n\ndef gone():\n    return 2\n")
+    (src / "b.py").write_text("def bar_one(x):\n    return x + 1\n")
+    (src / "c.py").write_text("def unused(x):\n    return x + 1\n")
+    engine.index_workspace(str(src), write=True)
+    foo = engine.symbols.where("fqn = 'a.py::foo'").first()
+    engine.save(observations=engine.table("observations").limit(1).withColumns({"symbol_fqn": F.lit("a.py::foo"), "symbol_hash": F.lit(foo.content_hash), "is_stale": F.lit(False), "id": F.lit("o")}))
+    drop = tmp_path / "changes"
+    drop.mkdir()
+    at = lambda s: f"2024-09-01T10:00:{s:02d}"
+    rows = [("a.py", "modified", at(i), f"def foo():\n    return bar_one({i})\n\n\ndef fresh():\n    return foo()\n") for i in range(4)] + [("c.py", "removed", at(9), None), (".git/x.py", "modified", at(1), "def no(): pass")]
+    (drop / "1.json").write_text("\n".join(json.dumps(dict(zip(("path", "kind", "ts", "content"), r))) for r in rows))
+    engine.watch(str(drop), str(tmp_path / "state")).awaitTermination()
+    assert {r.fqn for r in engine.symbols.collect()} == {"a.py::foo", "a.py::fresh", "b.py::bar_one"}
+    names = engine.symbols.select("id", "fqn")
+    links = engine.table("edges").join(names.withColumnsRenamed({"id": "from_id", "fqn": "f"}), "from_id").join(names.withColumnsRenamed({"id": "to_id", "fqn": "t"}), "to_id")
+    assert {(r.f, r.t) for r in links.collect()} == {("a.py::foo", "b.py::bar_one"), ("a.py::fresh", "a.py::foo")}
+    obs = {r.kind if r.id != "o" else "o": r for r in engine.table("observations").collect()}
+    assert obs["o"].is_stale and set(obs) == {"o", "passive", "file_thrash"}
+    assert obs["passive"].change_category == "new_symbol" and "a.py::fresh" in obs["passive"].content and "4 times" in obs["file_thrash"].content
+    assert {r.path for r in engine.table("files").collect()} == {"a.py", "b.py"}
