@@ -49,7 +49,17 @@ def e04_references(spark, sf_dir):
     return edges.references(symbols(spark, sf_dir)).select("from_id", "to_id")
 
 
-@CORE.add("e05_shell_calls")
+_WORDS = ", ".join(f"'{w}'" for w in edges.SHELL_WORDS)
+
+
+@CORE.add(
+    "e05_shell_calls",
+    with_views(
+        f"""SELECT f.id AS from_id, n.id AS to_id, 'calls' AS kind, min(w) AS label FROM (SELECT id, unnest(list_distinct(list_transform(regexp_split_to_array(body, '[\\n;|&{{(]'),
+        lambda x: regexp_replace(regexp_split_to_array(regexp_replace(regexp_replace(x, '^\\s+', ''), '^\\$*\\(*', ''), '\\s+')[1], '[^\\p{{L}}\\p{{N}}_]+$', '')))) AS w FROM sym WHERE language = 'shell' AND kind = 'function' AND body IS NOT NULL) f
+        JOIN sym n ON n.name = f.w AND n.language = 'shell' AND n.kind = 'function' WHERE f.id <> n.id AND regexp_matches(w, '^[\\p{{L}}_][\\p{{L}}\\p{{N}}_-]*$') AND octet_length(encode(w)) >= 2 AND w NOT IN ({_WORDS}) GROUP BY 1, 2"""
+    ),
+)
 def e05_shell_calls(spark, sf_dir):
     return edges.shell_calls(symbols(spark, sf_dir))
 
@@ -123,7 +133,16 @@ def f08_touched(spark, sf_dir):
     return diff.touched(diff.hunks(_diffs(spark)), symbols(spark, sf_dir))
 
 
-@CORE.add("c03_diff_impact")
+@CORE.add(
+    "c03_diff_impact",
+    with_views(
+        f"""WITH {_HUNKS}, p AS (SELECT DISTINCT diff_id, id FROM hunk JOIN sym USING (file_path) WHERE start_line <= last AND end_line >= first),
+        dep AS (SELECT DISTINCT p.diff_id, l.from_id AS id FROM p JOIN link l ON l.to_id = p.id WHERE (p.diff_id, l.from_id) NOT IN (SELECT (diff_id, id) FROM p)),
+        near AS (SELECT diff_id, id FROM (SELECT DISTINCT p.diff_id, t.id FROM p JOIN sym s ON s.id = p.id JOIN sym t ON regexp_matches(t.file_path, '/test|_test\\.|test_|/spec|_spec\\.') AND list_contains(regexp_split_to_array(coalesce(t.body, ''), '\\W+'), s.leaf_name))
+            WHERE (diff_id, id) NOT IN (SELECT (diff_id, id) FROM p) AND (diff_id, id) NOT IN (SELECT (diff_id, id) FROM dep) QUALIFY row_number() OVER (PARTITION BY diff_id ORDER BY id) <= 5)
+        SELECT diff_id, id, 'pivot' AS role FROM p UNION ALL SELECT diff_id, id, 'dependent' FROM dep UNION ALL SELECT diff_id, id, 'test' FROM near"""
+    ),
+)
 def c03_diff_impact(spark, sf_dir):
     s = symbols(spark, sf_dir)
     link = graph.links(table(spark, sf_dir, "edges"), nodes(spark, sf_dir))

@@ -75,7 +75,15 @@ def x06_dotted(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(A.dotted_names(F.col("text"))).cast("long").alias("n"))
 
 
-@CORE.add("x03_imports")
+_FROM_SQL = "(?:^|[\\s:;`])from\\s+([A-Za-z_][\\w.]*)\\s+import\\s+([A-Za-z_][\\w]*(?:\\s*,\\s*[A-Za-z_]\\w*)*)"
+_IMPORT_SQL = "(?:^|[\\n:;`])[ \\t]*import\\s+([A-Za-z_][\\w.]*)"
+
+
+@CORE.add(
+    "x03_imports",
+    f"""SELECT doc_id, list_concat(flatten(list_transform(regexp_extract_all(text, '{_FROM_SQL}', 2), lambda x: regexp_split_to_array(x, '\\s*,\\s*'))), list_transform(regexp_extract_all(text, '{_IMPORT_SQL}', 1), lambda x: string_split(x, '.')[-1])) AS names,
+    list_filter(m, lambda x, i: list_position(m, x) = i) AS modules FROM (SELECT doc_id, text, list_concat(regexp_extract_all(text, '{_FROM_SQL}', 1), regexp_extract_all(text, '{_IMPORT_SQL}', 1)) AS m FROM documents WHERE text IS NOT NULL)""",
+)
 def x03_imports(spark, sf_dir):
     t = F.col("text")
     return _docs(spark, sf_dir).select("doc_id", A.imported(t).alias("names"), A.module_paths(t).alias("modules"))
@@ -182,7 +190,13 @@ def m14_delete(spark, sf_dir):
     return memory.delete(o, o.where("kind = 'auto'")).select("id")
 
 
-@CORE.add("n02_rust_types")
+@CORE.add(
+    "n02_rust_types",
+    with_views(
+        """SELECT s.id, f.type AS resolved_type, coalesce(s.source, 'rustdoc') AS source FROM sym s JOIN (SELECT leaf_name AS key, min(regexp_extract(signature, '-> (.+)$', 1)) AS type FROM sym
+        WHERE language = 'rust' AND contains(signature, '-> Result<') AND leaf_name IS NOT NULL GROUP BY 1) f ON string_split(s.name, '::')[-1] = f.key AND (s.name = f.key OR ends_with('::' || s.fqn, '::' || f.key)) WHERE s.language = 'rust'"""
+    ),
+)
 def n02_rust_types(spark, sf_dir):
     """Types from two documents of the Rust documentation's form, merged into the symbol table: the changed rows."""
     s = symbols(spark, sf_dir)
@@ -190,7 +204,13 @@ def n02_rust_types(spark, sf_dir):
     return enrich.rust_types(s.withColumn("resolved_type", F.lit(None).cast("string")), facts).where("resolved_type IS NOT NULL").select("id", "resolved_type", "source")
 
 
-@CORE.add("n04_script_types")
+@CORE.add(
+    "n04_script_types",
+    with_views(
+        """SELECT s.id, f.type AS resolved_type FROM sym s JOIN (SELECT fqn, min(regexp_extract(signature, '\\): (\\w+)', 1)) AS type FROM sym WHERE language = 'typescript' AND regexp_matches(signature, '\\): [A-Z]') AND fqn IS NOT NULL GROUP BY 1) f USING (fqn)
+        WHERE s.language IN ('typescript', 'tsx', 'javascript', 'jsx')"""
+    ),
+)
 def n04_script_types(spark, sf_dir):
     s = symbols(spark, sf_dir)
     facts = s.where("language = 'typescript' AND signature RLIKE '\\\\): [A-Z]'").select("fqn", F.regexp_extract("signature", r"\): (\w+)", 1).alias("resolved_type"))

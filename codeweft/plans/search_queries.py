@@ -153,7 +153,13 @@ def r09_semantic_topk(spark, sf_dir):
     return ranking.semantic_topk(v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id"))
 
 
-@CORE.add("r09_semantic_topk_all")
+@CORE.add(
+    "r09_semantic_topk_all",
+    """WITH v AS (SELECT DISTINCT symbol_id AS id, dim, CAST(embedding AS DOUBLE[]) AS e FROM symbol_embeddings JOIN embedding_store USING (store_id) WHERE symbol_id IS NOT NULL AND len(embedding) = dim
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    c AS (SELECT q.id AS query_id, v.id, q.dim, max(round(list_dot_product(q.e, v.e), 6)) AS similarity FROM v q JOIN v ON q.dim = v.dim WHERE q.id % 50 = 0 GROUP BY 1, 2, 3)
+    SELECT query_id, id, rank, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, dim ORDER BY similarity DESC, id) AS rank FROM c) WHERE rank <= 25""",
+)
 def r09_semantic_topk_all(spark, sf_dir):
     """Exact best vectors among the usable ones of all stores, per dimension, for every id divisible by 50."""
     e = table(spark, sf_dir, "symbol_embeddings").where("symbol_id IS NOT NULL").join(table(spark, sf_dir, "embedding_store").select("store_id", "dim").dropDuplicates(["store_id"]), "store_id")

@@ -84,7 +84,16 @@ def n03_python_types(spark, sf_dir):
     return enrich.python_types(symbols(spark, sf_dir), none).select("id", "resolved_type")
 
 
-@CORE.add("x19_macro_users")
+_USUAL = "'println','print','eprintln','eprint','format','vec','assert','assert_eq','assert_ne','debug_assert','panic','todo','unimplemented','unreachable','write','writeln','matches','dbg','include_str','env','concat','stringify'"
+
+
+@CORE.add(
+    "x19_macro_users",
+    with_views(
+        f"""SELECT id, replace(regexp_replace(regexp_extract(file_path, '(?:^|/)src/(.*)\\.rs$', 1), '(?:^|/)(?:mod|lib|main)$', ''), '/', '::') AS module FROM sym WHERE language = 'rust' AND body IS NOT NULL
+        AND (contains(body, '#[derive(') OR len(list_filter(regexp_extract_all(body, '(?:^|[^\\w])([a-z_][a-z0-9_]*)!\\s*[({{\\[]', 1), lambda x: x NOT IN ({_USUAL}))) > 0)"""
+    ),
+)
 def x19_macro_users(spark, sf_dir):
     s = symbols(spark, sf_dir).where("language = 'rust' AND body IS NOT NULL")
     return s.where(enrich.uses_macros(F.col("body"))).select("id", enrich.module_path(F.col("file_path")).alias("module"))

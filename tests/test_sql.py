@@ -1,4 +1,4 @@
-"""Core queries against their SQL at the smallest size; the slow ones are covered by the driver and by unit tests."""
+"""Core queries against their SQL at the smallest size."""
 
 import pytest
 from conftest import SF
@@ -6,14 +6,11 @@ from oracle import assert_same, connect
 
 from codeweft.catalogue import CORE
 
-SLOW = {"r02_bm25", "r04_graph_candidates", "r10_fusion", "r11_injected", "r12_proximity", "r13_centrality_boost", "g06_blast_radius", "g07_impact", "t05_stream_thrash", "t06_stream_suppress"}
-
-
 @pytest.fixture(scope="module")
 def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(CORE.sql) - SLOW))
+@pytest.mark.parametrize("name", sorted(CORE.sql))
 def test_equals_sql(spark, con, name):
     assert_same(CORE.queries[name](spark, SF), con, CORE.sql[name])
