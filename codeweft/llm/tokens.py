@@ -78,6 +78,8 @@ class ByteBPE:
         key = (a, b)
         known = self.compatible.get(key)
         if known is None:
+            if len(self.compatible) >= CACHED_PIECES * 5:
+                self.compatible.clear()
             known = self.compatible[key] = self.merge(self.token[a] + self.token[b]) == [a, b]
         return known
 
