@@ -13,8 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-#: Paths that this driver has written, for :func:`clear`.
+#: Paths and catalogue tables that this driver has written, for :func:`clear`.
 _written: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,13 +47,16 @@ def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int, codec
     path = f"{shared_dir(spark)}/codeweft/{table}"
     df.write.format("parquet").option("path", path).option("compression", codec).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
     _written.append(path)
+    _tables.append(table)
     return spark.table(table)
 
 
 def clear(spark: SparkSession) -> int:
-    """Delete all tables that this driver has written to the shared folder; results that still read them become unreadable.
-    Returns how many there were."""
+    """Delete all tables that this driver has written to the shared folder, and take the bucketed ones out of the catalogue; results
+    that still read them become unreadable. Returns how many there were."""
     n = 0
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _written:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
