@@ -46,7 +46,7 @@ class Engine:
     def index(self) -> pipeline.Index:
         """Links, centrality and families of the current state; built on first use."""
         if self._index is None:
-            self._index = pipeline.Index.build(self.symbols, self.nodes, self.table("edges"))
+            self._index = pipeline.Index.build(self.symbols, self.nodes, self.table("edges"), postings=True)
         return self._index
 
     @property

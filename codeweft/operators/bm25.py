@@ -6,6 +6,8 @@ score of a symbol is the sum over fields and distinct query words, any word may
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,10 @@ POOL = 50
 SYMBOL_BLOCK, QUERY_BLOCK = 16_384, 4096
 #: Word frequencies are broadcast up to this many rows, beyond it they are joined.
 MOST_BROADCAST = 1_000_000
+#: Up to so many words are named to the scan of the postings.
+MOST_LISTED = 200
+#: Up to so many queries the blocks of symbols are as large as they may be.
+ALONE = 8
 
 
 def terms(text: Column) -> Column:
@@ -42,38 +48,62 @@ def postings(symbols: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return rows.select("field", "id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("field", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def weights(symbols: DataFrame, asked: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+@dataclass
+class Postings:
+    """What searching needs of the symbols, built once: all postings in the order of their words, the mean field lengths, and how
+    many symbols there are."""
+
+    table: DataFrame
+    stats: DataFrame
+    n_docs: int
+
+    @classmethod
+    def build(cls, symbols: DataFrame, fields: tuple[str, ...] = FIELDS) -> Postings:
+        """Sorted by word, so a search reads the parts of the table that hold its words."""
+        table = materialize(postings(symbols, fields).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+        stats = materialize(table.select("field", "id", "dl").distinct().groupBy("field").agg(F.avg("dl").alias("avgdl")), "lengths")
+        return cls(table, stats, symbols.select("id").count())
+
+
+def weights(symbols: DataFrame, asked: DataFrame, fields: tuple[str, ...] = FIELDS, built: Postings | None = None) -> DataFrame:
     """``id``, ``term``, ``w``: the weight of each asked word (``term``) in each symbol, summed over the fields.
 
     A symbol's text is split once; words are counted inside the row, so a common word does not gather anywhere."""
-    kept = [c for c in ("id", *fields)]
-    texts = symbols.select(*kept)
-    rows = texts.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("t")) for f in fields])).alias("x")).select("id", "x.field", "x.t").where(F.size("t") > 0)
+    n_asked = asked.count()
+    few = F.broadcast(asked) if n_asked <= MOST_BROADCAST else asked
+    if built is not None:
+        post = built.table
+        if n_asked <= MOST_LISTED:  # the words reach the scan
+            post = post.where(F.col("term").isin([r.term for r in asked.collect()]))
+        return _weighed(post.join(few, "term", "left_semi"), built.stats, F.lit(built.n_docs), n_asked * len(fields))
+    rows = symbols.select("id", *fields).select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("t")) for f in fields])).alias("x")).select("id", "x.field", "x.t").where(F.size("t") > 0)
     stats = rows.groupBy("field").agg(F.avg(F.size("t")).alias("avgdl"))
     total = symbols.agg(F.count(F.lit(1)).alias("n_docs"))
     tokens = rows.select("field", "id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    n_asked = asked.count()
-    few = F.broadcast(asked) if n_asked <= MOST_BROADCAST else asked
     post = materialize(tokens.join(few, "term", "left_semi").groupBy("field", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    return _weighed(post, stats, F.lit(total.first()[0]), n_asked * len(fields))
+
+
+def _weighed(post: DataFrame, stats: DataFrame, n_docs: Column, most_words: int) -> DataFrame:
     df = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    df = F.broadcast(df) if n_asked * len(fields) <= MOST_BROADCAST else df
-    w = post.join(df, ["field", "term"]).join(F.broadcast(stats), "field").crossJoin(F.broadcast(total))  # one row per field, one in all
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = F.broadcast(df) if most_words <= MOST_BROADCAST else df
+    w = post.join(df, ["field", "term"]).join(F.broadcast(stats), "field")  # one row per field
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return w.select("id", "term", weight.alias("w")).groupBy("id", "term").agg(F.sum("w").alias("w"))
 
 
-def search(symbols: DataFrame, queries: DataFrame, limit: int = POOL, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def search(symbols: DataFrame, queries: DataFrame, limit: int = POOL, fields: tuple[str, ...] = FIELDS, built: Postings | None = None) -> DataFrame:
     """R2: ``query_id``, ``id``, ``rank`` (from 1), ``score``: the best symbols of each query; ties by id.
 
     Only words that are asked for are kept. Then a block of symbols meets a block of queries in one task, adds up the
     weights of each query's words in an array, and passes on the best of the block; nothing is made per (query, symbol).
     """
     q = materialize(query_terms(queries), "asked")
-    w = weights(symbols, q.select("term").distinct(), fields)
-    n_symbols, n_queries = symbols.select("id").count(), queries.select("query_id").count()
+    w = weights(symbols, q.select("term").distinct(), fields, built)
+    n_symbols, n_queries = built.n_docs if built else symbols.select("id").count(), queries.select("query_id").count()
     spark = symbols.sparkSession
-    n_blocks = max(spark.sparkContext.defaultParallelism, -(-n_symbols // SYMBOL_BLOCK))
+    n_blocks = max(spark.sparkContext.defaultParallelism if n_queries > ALONE else 1, -(-n_symbols // SYMBOL_BLOCK))
     n_asks = max(1, -(-n_queries // QUERY_BLOCK))
     key = F.xxhash64("term").alias("key")
     posts = w.select("id", key, "w", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))).alias("b"))

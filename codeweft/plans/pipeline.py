@@ -20,13 +20,15 @@ class Index:
     link: DataFrame
     cent: DataFrame
     family: DataFrame
+    postings: bm25.Postings | None = None
 
     @classmethod
-    def build(cls, symbols: DataFrame, nodes: DataFrame, edges: DataFrame) -> Index:
+    def build(cls, symbols: DataFrame, nodes: DataFrame, edges: DataFrame, postings: bool = False) -> Index:
+        """With ``postings`` all words are indexed, which pays off for an index that is asked again and again."""
         symbols = materialize(symbols, "symbols")  # cleaned once, not in every branch
         link = materialize(graph.links(edges, nodes), "link")
         deg = materialize(graph.degrees(link, nodes), "deg")
-        return cls(symbols, link, materialize(graph.centrality(deg), "cent"), materialize(graph.family(deg, nodes), "family"))
+        return cls(symbols, link, materialize(graph.centrality(deg), "cent"), materialize(graph.family(deg, nodes), "family"), bm25.Postings.build(symbols) if postings else None)
 
 
 def prepared(queries: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ def select(ix: Index, queries: DataFrame, semantic: DataFrame | None = None, max
     is an embedder.
     """
     q = materialize(prepared(queries), "queries")
-    hits = materialize(bm25.search(ix.symbols, q), "bm25")
+    hits = materialize(bm25.search(ix.symbols, q, built=ix.postings), "bm25")
     told = q.withColumn("task", F.concat_ws("\n", "task", "context"))
     named = materialize(ranking.anchor_candidates(ix.symbols, told), "anchors")
     lists = {"bm25": hits, "graph": ranking.graph_candidates(ix.link, hits, ix.cent), "anchor": named, "traceback": ranking.traceback_candidates(ix.symbols, told)}

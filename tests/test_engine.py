@@ -112,3 +112,12 @@ def test_changes_run_through(engine, tmp_path):
     assert obs["o"].is_stale and set(obs) == {"o", "passive", "file_thrash"}
     assert obs["passive"].change_category == "new_symbol" and "a.py::fresh" in obs["passive"].content and "4 times" in obs["file_thrash"].content
     assert {r.path for r in engine.table("files").collect()} == {"a.py", "b.py"}
+
+
+def test_postings_change_nothing(engine):
+    from codeweft.operators import bm25
+
+    q = engine.spark.createDataFrame([(i, t) for i, t in enumerate(["load the rows of the trail", "budget lattice", "zzz none", ""])], "query_id long, task string")
+    s = engine.index.symbols
+    rows = lambda built: sorted(map(tuple, bm25.search(s, q, built=built).collect()))
+    assert rows(None) == rows(engine.index.postings) and rows(None)
