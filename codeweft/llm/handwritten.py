@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.llm.tokens import spread
+from codeweft.plans.materialize import materialize
 
 KINDS = ("generated", "minified", "vendored", "data")
 FIT_FILES = 5000
@@ -469,7 +470,7 @@ def unpacked(at: bytes, counts: bytes) -> np.ndarray:
 def fit_on(symbols: DataFrame, fit_files: int = FIT_FILES) -> tuple[Model, dict[str, tuple[int, int, int]]]:
     """Fit on a bounded sample of files: those with the smallest hashes of their paths."""
     rows = _rows(symbols)
-    paths = rows.select("path").distinct().orderBy(F.xxhash64("path"), "path").limit(fit_files)
+    paths = materialize(rows.select("path").distinct().orderBy(F.xxhash64("path"), "path").limit(fit_files), "sample")
     some = rows.join(F.broadcast(paths), "path", "left_semi")  # at most fit_files paths
     copied = _copied(rows).join(F.broadcast(paths), "path", "left_semi")
     files = _counted(spread(some)).join(copied, "path", "left").na.fill(0.0, ["copied", "sized"]).orderBy("path").toPandas()
