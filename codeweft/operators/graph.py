@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import TYPE_DEFS, is_test_file
-from codeweft.plans.materialize import materialize
+from codeweft.plans.materialize import if_small, materialize
 from codeweft.sources.tables import edge_kind
 
 #: The edge kinds in the order in which extractors are run; other kinds count as references.
 KIND_ORDER = {"imports": 1, "implements": 2, "calls": 3, "references": 4, "inherits": 5, "defined_in": 6}
 
 
+#: Names that a search for suggestions compares with all symbols at once.
+MOST_TYPED = 10_000
+
+
 def known_kind(kind: Column) -> Column:
     """Normal form of an edge kind; unknown and null kinds are references."""
     k = edge_kind(kind)
@@ -77,13 +81,14 @@ def blast_radius(link: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataF
     """``seed``, ``id``, ``depth``: what depends on the seeds, nearest first, 1 <= depth <= max_depth - 1.
 
     A frontier per round, joined on the target; visited pairs are left out. Each round is written to the shared folder, so
-    the plan does not grow with the depth.
+    the plan does not grow with the depth. A frontier of bounded size goes to the links, so the links of a target that draws
+    most of them stay where they are.
     """
     back = link.select(F.col("to_id").alias("id"), F.col("from_id").alias("next"))
-    front = seeds.select(F.col("id").alias("seed"), "id").distinct()
+    front = materialize(seeds.select(F.col("id").alias("seed"), "id").distinct(), "front")
     seen = front.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth):
-        step = front.join(back, "id").select("seed", F.col("next").alias("id")).distinct()
+        step = back.join(if_small(front), "id").select("seed", F.col("next").alias("id")).distinct()
         front = materialize(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti"), "front")
         seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
     return seen.where("depth > 0")
@@ -145,9 +150,13 @@ def shortest_paths(link: DataFrame, pairs: DataFrame) -> DataFrame:
 def suggestions(nodes: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """``query``, ``place``, ``fqn``, ``score``: symbols whose name (2) or fqn (1) contains the query, any case.
 
-    ``queries`` are a few typed names; each is compared with all symbols, and every task keeps its best per query only.
+    ``queries`` are typed names, MOST_TYPED at most (more raise an error); each is compared with all symbols, and every task keeps
+    its best per query only.
     """
     q = queries.select("query").where("query IS NOT NULL AND query <> ''").distinct()
+    if q.limit(MOST_TYPED + 1).count() > MOST_TYPED:
+        raise ValueError(f"more than {MOST_TYPED} names")
+    q = F.broadcast(q)
     low = F.lower("query")
     score = F.when(F.lower("name").contains(low), 2).when(F.lower("fqn").contains(low), 1)
     hits = nodes.select("name", "fqn").distinct().join(q, F.lower("fqn").contains(low) | F.lower("name").contains(low)).withColumn("score", score)

@@ -21,6 +21,8 @@ CATEGORIES = ("new_symbol", "deleted_symbol", "signature_change", "dependency_ad
 COMPRESS_FROM = 3
 THRASH_EDITS, THRASH_SECONDS = 4, 300
 SIMILAR, LEAST_SIMILAR = 20, 0.3
+#: Words that a search by words compares with all observations at once.
+MOST_WORDS = 100_000
 
 
 def live(obs: DataFrame, now: dt.datetime) -> DataFrame:
@@ -90,11 +92,13 @@ def per_session(obs: DataFrame, now: dt.datetime) -> DataFrame:
 def search(obs: DataFrame, queries: DataFrame, now: dt.datetime, limit: int = 10) -> DataFrame:
     """``query_id``, ``place``, ``id``, ``score``: observations by the number of query words in content or symbol name.
 
-    Words match anywhere, in any case; observations without a match are left out. Queries are a few; each task keeps its
-    best per query.
+    Words match anywhere, in any case; observations without a match are left out. The words of all queries are compared with
+    every observation, MOST_WORDS at most (more raise an error); each task keeps its best per query.
     """
     words = F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")
-    q = queries.select("query_id", F.explode(words).alias("word"))
+    q = materialize(queries.select("query_id", F.explode(words).alias("word")), "words")
+    if q.limit(MOST_WORDS + 1).count() > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words")
     text = live(obs, now).select("id", "created_at", F.lower(F.coalesce("content", F.lit(""))).alias("c"), F.lower(F.coalesce("symbol_fqn", F.lit(""))).alias("f"))
     hits = text.join(F.broadcast(q), F.col("c").contains(F.col("word")) | F.col("f").contains(F.col("word")))  # typed words only
     scored = hits.groupBy("query_id", "id", "created_at").agg(F.count(F.lit(1)).alias("score"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeweft.functions import anchors as A
 from codeweft.functions.text import CALLABLE, TYPE_DEFS, expand_seed, is_test_path, is_utility, pivot_eligible, query_terms
 from codeweft.operators import blocks
-from codeweft.plans.materialize import materialize
+from codeweft.plans.materialize import if_small, materialize
 
 #: Rank constants of the fusion, per retriever.
 FUSION_K = {"bm25": 60, "graph": 60, "semantic": 60, "anchor": 15, "traceback": 8, "reverse": 30}
@@ -80,11 +80,11 @@ def reverse_expand(link: DataFrame, symbols: DataFrame, cent: DataFrame, anchors
     words = queries.select("query_id", query_terms(F.col("task")).alias("words"))
     callers = link.select(F.col("to_id").alias("id"), F.col("from_id").alias("next"))
     usable = flags.where("NOT is_stub AND kind <> 'import'").select(F.col("id").alias("next"), "ln", "lf")
-    front = seeds.select("query_id", "id", F.col("rank").alias("ord"))
+    front = materialize(seeds.select("query_id", "id", F.col("rank").alias("ord")), "front")
     seen = seeds.select("query_id", "id")
     out = None
     for depth in range(REVERSE_DEPTH):
-        step = front.join(callers, "id").join(usable, "next").join(words, "query_id").join(seen.select("query_id", F.col("id").alias("next")), ["query_id", "next"], "left_anti")
+        step = callers.join(if_small(front), "id").join(usable, "next").join(words, "query_id").join(seen.select("query_id", F.col("id").alias("next")), ["query_id", "next"], "left_anti")
         step = step.join(cent.select(F.col("id").alias("next"), "centrality"), "next", "left")
         if semantic is not None:
             step = step.join(semantic.select("query_id", F.col("id").alias("next"), F.col("similarity").alias("sem")), ["query_id", "next"], "left")

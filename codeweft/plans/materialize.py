@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Paths and catalogue tables that this driver has written, for :func:`clear`.
@@ -51,6 +52,12 @@ def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int, codec
     return spark.table(table)
 
 
+def if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcasting if it has at most ``most_rows`` rows (of a few numbers each, as its callers see to), else as it
+    is: the join then shuffles, and skewed keys are split at run time. The rows are counted, so give it a written table."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def clear(spark: SparkSession) -> int:
     """Delete all tables that this driver has written to the shared folder, and take the bucketed ones out of the catalogue; results
     that still read them become unreadable. Returns how many there were."""
