@@ -81,9 +81,11 @@ def reverse_expand(link: DataFrame, symbols: DataFrame, cent: DataFrame, anchors
     callers = link.select(F.col("to_id").alias("id"), F.col("from_id").alias("next"))
     usable = flags.where("NOT is_stub AND kind <> 'import'").select(F.col("id").alias("next"), "ln", "lf")
     front = materialize(seeds.select("query_id", "id", F.col("rank").alias("ord")), "front")
-    seen = seeds.select("query_id", "id")
-    out = None
+    seen = front.select("query_id", "id")
+    out = front.select("query_id", "id", F.lit(0).alias("depth"), F.col("ord").cast("int").alias("ord")).where("false")
     for depth in range(REVERSE_DEPTH):
+        if front.isEmpty():  # most tasks name no exception
+            break
         step = callers.join(if_small(front), "id").join(usable, "next").join(words, "query_id").join(seen.select("query_id", F.col("id").alias("next")), ["query_id", "next"], "left_anti")
         step = step.join(cent.select(F.col("id").alias("next"), "centrality"), "next", "left")
         if semantic is not None:
@@ -97,7 +99,7 @@ def reverse_expand(link: DataFrame, symbols: DataFrame, cent: DataFrame, anchors
         front = materialize(ranked_by(first, ["query_id"], [F.asc("p"), F.asc("next")], "ord").select("query_id", F.col("next").alias("id"), "ord"), "front")
         seen = seen.unionByName(front.select("query_id", "id"))
         level = front.select("query_id", "id", F.lit(depth).alias("depth"), "ord")
-        out = level if out is None else out.unionByName(level)
+        out = out.unionByName(level)
     return top(out, ["query_id"], [F.asc("depth"), F.asc("ord")], REVERSE_MOST).select("query_id", "id", "rank", (1.0 / (F.col("depth") + 2)).alias("score"))
 
 
