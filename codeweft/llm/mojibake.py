@@ -396,15 +396,19 @@ def repair_segment(text: str, pairs: Pairs = NO_PAIRS) -> tuple[str, tuple[str,
         return text, (), 0.0
     best, best_path, best_value, gain = text, (), math.inf, 0.0
     seen = {text}
-    # (priority, number, string, moves, cost and value of what the string is compared with: the text without its escapes)
-    heap: list[tuple[float, int, str, tuple[str, ...], float, float]] = [(start, 0, text, (), start, start + pairs.cost(text))]
+    # (priority, number, string, moves, whether one of them reads bytes, cost and value of what the string is compared with: the
+    # text without its escapes)
+    heap: list[tuple[float, int, str, tuple[str, ...], bool, float, float]] = [(start, 0, text, (), False, start, start + pairs.cost(text))]
     serial = 0
+
+    def hopeless(state: str, n_moves: int, most: float) -> bool:
+        """A string behind this one costs at least the moves to it, and U+FFFD does not go away again."""
+        return MOVE_PRICE * (n_moves + 1) + LOST_COST * state.count("\ufffd") >= most
+
     while heap:
-        _, _, state, path, base, base_value = heapq.heappop(heap)
-        # a string behind this one costs at least the moves to it, and U+FFFD does not go away again
-        if MOVE_PRICE * (len(path) + 1) + LOST_COST * state.count("\ufffd") >= min(best_value, base_value):
-            if not escaped or any(">" in p for p in path):
-                continue
+        _, _, state, path, read, base, base_value = heapq.heappop(heap)
+        if (read or not escaped) and hopeless(state, len(path), min(best_value, base_value)):
+            continue
         for name, out in moves(state, exchange=not path or not _exchanged(path[-1])):
             if out in seen:
                 continue
@@ -413,13 +417,15 @@ def repair_segment(text: str, pairs: Pairs = NO_PAIRS) -> tuple[str, tuple[str,
             v = c + pairs.cost(out) + MOVE_PRICE * (len(path) + 1)
             serial += 1
             way = (*path, name)
-            if not any(">" in p for p in way):  # only unescaped so far: what follows is compared with this
-                heapq.heappush(heap, (v - 1.5, serial, out, way, c, v))
+            reads = read or ">" in name
+            if not reads:  # only unescaped so far: what follows is compared with this
+                heapq.heappush(heap, (v - 1.5, serial, out, way, False, c, v))
                 continue
             if v < min(best_value, base_value) and base - c >= LEAST_GAIN and c <= 0.6 * base:
                 best, best_path, best_value, gain = out, way, v, base - c
             # a whole run that reads as UTF-8 is hardly chance, so such a state is looked into first
-            heapq.heappush(heap, (0.3 * v if name.endswith("utf-8") else v, serial, out, way, base, base_value))
+            if not hopeless(out, len(way), min(best_value, base_value)):
+                heapq.heappush(heap, (0.3 * v if name.endswith("utf-8") else v, serial, out, way, True, base, base_value))
     return best, (*best_path, "lost") if "\ufffd" in best else best_path, gain
 
 
