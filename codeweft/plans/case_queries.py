@@ -317,7 +317,7 @@ def _error_graph(spark):
     return s, spark.createDataFrame([(2, 1, "calls"), (3, 2, "calls")], "from_id long, to_id long, kind string")
 
 
-@CORE.add("r07_cases", values("id, rank, score", "(2, 1, 0.5)", "(3, 2, 0.333333)"))
+@CORE.add("r07_cases", values("id, rank, score", "(2, 1, 0.5::DOUBLE)", "(3, 2, 0.333333::DOUBLE)"))
 def r07_cases(spark, sf_dir):
     """Above an exception type: who raises it, and who calls that."""
     s, link = _error_graph(spark)
@@ -328,7 +328,7 @@ def r07_cases(spark, sf_dir):
     return out.select(F.col("id").cast("int").alias("id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@CORE.add("r14_cases", values("id, score", "(1, 0.7)", "(2, 0.5)", "(3, 0.25)"))
+@CORE.add("r14_cases", values("id, score", "(1, 0.7::DOUBLE)", "(2, 0.5::DOUBLE)", "(3, 0.25::DOUBLE)"))
 def r14_cases(spark, sf_dir):
     """Half the score and half the similarity; none and a negative one change nothing."""
     scored = spark.createDataFrame([(1, 1, 0.8), (1, 2, 0.5), (1, 3, 0.25)], "query_id int, id int, score double")
@@ -336,7 +336,7 @@ def r14_cases(spark, sf_dir):
     return ranking.semantic_blend(scored, sem).select("id", F.round("score", 6).alias("score"))
 
 
-@CORE.add("r16_cases", values("id, score, rank", "(1, 0.9, 1)", "(3, 0.5, 2)", "(4, 0.3, 3)"))
+@CORE.add("r16_cases", values("id, score, rank", "(1, 0.9::DOUBLE, 1)", "(3, 0.5::DOUBLE, 2)", "(4, 0.3::DOUBLE, 3)"))
 def r16_cases(spark, sf_dir):
     """One row per name, the better one; a stub counts three tenths, so it falls behind."""
     s = table_of(spark, [{"id": 1, "fqn": "a"}, {"id": 2, "fqn": "a"}, {"id": 3, "fqn": "b"}, {"id": 4, "fqn": "c", "is_stub": True}])
@@ -552,7 +552,7 @@ def n04_cases(spark, sf_dir):
     return enrich.script_types(s, facts).select(F.col("id").cast("int").alias("id"), "resolved_type")
 
 
-@CORE.add("n07_cases", values("key, dim, norm, same", "(1, 64, 1.0, true)", "(2, 64, 1.0, true)", "(3, 64, 0.0, true)"))
+@CORE.add("n07_cases", values("key, dim, norm, same", "(1, 64, 1.0::DOUBLE, true)", "(2, 64, 1.0::DOUBLE, true)", "(3, 64, 0.0::DOUBLE, true)"))
 def n07_cases(spark, sf_dir):
     """Vectors have one length and norm one (an empty text none); word order does not matter to the stand-in."""
     d = spark.createDataFrame([(1, "load the rows", "rows the load"), (2, "x", "X"), (3, "", "")], "key int, a string, b string")
